@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, pieces, quality, tokenbin
+from . import licenses, packing, pieces, quality, tokenbin, warc
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _SENT: set[str] = set()
@@ -45,6 +45,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -67,6 +71,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op8_license_scan": op8_license_scan,
@@ -119,4 +124,18 @@ FROM w LEFT JOIN b ON w.doc_id = b.doc_id LEFT JOIN s ON w.doc_id = s.doc_id
 """
 
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY, "op8_license_scan": _license_sql()}
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+r AS (SELECT page_id, n, s, max(page_id) OVER (PARTITION BY s) AS m FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= {warc.MIN_REVISIT} AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {warc.MIN_REVISIT} AND m <> page_id THEN m END AS refers_to
+FROM r
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc": _WARC,
+    "op5_quality_rules": _QUALITY,
+    "op8_license_scan": _license_sql(),
+}

@@ -99,21 +99,44 @@ def attempt_name() -> str:
 BINS = 1 << 17
 
 
-def range_shards(df: DataFrame, key: str, weight: Column, target: int, tie: Column) -> tuple[DataFrame, int]:
-    """Add ``_shard``: consecutive numbers for consecutive ranges of the integer ``key``, about ``target`` of ``weight`` each.
-
-    The ranges follow from the rows alone, not from how Spark dealt them. The weights of at most
-    ``BINS`` equal-width bins of the key are summed with partial aggregation, the bins are cut into
-    ranges. A bin over the target (one id with many rows, or many close ids) that holds one id only is
-    split by ``tie``, a 64-bit hash that orders equal ids. Rows without a key come first and are
-    split the same way.
+class Shards:
+    """Consecutive shard numbers for consecutive ranges of an integer key; the ranges follow from the rows alone."""
+
+    def __init__(self, spark: SparkSession, key: str, lo: int, width: int, rows: list[tuple[int, int, int]]):
+        self.spark, self.key, self.lo, self.width, self.rows = spark, key, lo, width, rows
+        self.n = max((first + parts for _, first, parts in rows), default=1)
+
+    def _joined(self, df: DataFrame) -> DataFrame:
+        table = self.spark.createDataFrame(self.rows or [(-1, 0, 1)], "_b int, _first int, _parts int")  # at most BINS + 1 rows
+        return df.withColumn("_b", _bin(self.key, self.lo, self.width)).join(F.broadcast(table), "_b")
+
+    def assign(self, df: DataFrame, tie: Column) -> DataFrame:
+        """Add ``_shard``; a bin of several shards is split by ``tie``, a 64-bit hash that orders equal keys."""
+        place = F.floor((F.shiftrightunsigned(tie, 33) * F.col("_parts").cast("long")) / F.lit(1 << 31)).cast("int")
+        return self._joined(df).withColumn("_shard", F.col("_first") + place).drop("_b", "_first", "_parts")
+
+    def everywhere(self, df: DataFrame) -> DataFrame:
+        """Add ``_shard``: each row once for every shard that may hold its key."""
+        rows = self._joined(df).withColumn("_shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)))
+        return rows.drop("_b", "_first", "_parts")
+
+
+def _bin(key: str, lo: int, width: int) -> Column:
+    return F.coalesce(F.expr(f"cast(({key} - {lo}L) div {width}L as int)"), F.lit(-1))
+
+
+def range_shards(df: DataFrame, key: str, weight: Column, target: int) -> Shards:
+    """Ranges of ``key`` with about ``target`` of ``weight`` each.
+
+    The weights of at most ``BINS`` equal-width bins of the key are summed with partial aggregation,
+    and the bins are cut into ranges. A bin over the target that holds one id only gets several
+    shards, as do the rows without a key, which come first.
     """
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     if lo is None:
         lo = hi = 0
     width = max(1, -(-(hi - lo + 1) // BINS))
-    bin_of = F.coalesce(F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1))
-    sums = sorted((r[0], r[1] or 0) for r in df.groupBy(bin_of.alias("b")).agg(F.sum(weight).alias("w")).collect())
+    sums = sorted((r[0], r[1] or 0) for r in df.groupBy(_bin(key, lo, width).alias("b")).agg(F.sum(weight).alias("w")).collect())
     shard, held, rows = -1, target, []
     for b, w in sums:
         parts = -(-w // target) if (width == 1 or b < 0) and w > target else 1
@@ -123,11 +146,7 @@ def range_shards(df: DataFrame, key: str, weight: Column, target: int, tie: Colu
         if parts > 1:
             shard, held = shard + parts - 1, target
         held += w
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows or [(-1, 0, 1)], "_b int, _first int, _parts int")  # at most BINS + 1 rows
-    part = F.floor((F.shiftrightunsigned(tie, 33) * F.col("_parts").cast("long")) / F.lit(1 << 31)).cast("int")
-    out = df.withColumn("_b", bin_of).join(F.broadcast(table), "_b").withColumn("_shard", F.col("_first") + part).drop("_b", "_first", "_parts")
-    return out, shard + 1
+    return Shards(df.sparkSession, key, lo, width, rows)
 
 
 def deal_by_shard(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -72,8 +72,8 @@ def write(docs: DataFrame, file: str, folder: str, *, text: str = "text", end_id
     """Write all documents' ids below ``folder``; the manifest, read back from the table that commits it."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
-    sharded, n = range_shards(rows, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(16), shard_bytes, tie)
-    dealt = deal_by_shard(sharded, n, F.col("doc_id").asc_nulls_first(), tie, F.col("text"))
+    shards = range_shards(rows, "doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(16), shard_bytes)
+    dealt = deal_by_shard(shards.assign(rows, tie), shards.n, F.col("doc_id").asc_nulls_first(), tie, F.col("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
