@@ -1,10 +1,10 @@
-"""Token ids as the tokenizers library gives them, from cached chunks that its rules never merge across.
+"""Token ids as the tokenizers library gives them, from cached words that its rules never merge across.
 
-Both vocabularies split a text before they merge: the word vocabulary drops white space, the byte
-vocabulary lets one space lead a chunk. A chunk's ids don't depend on its neighbours, so each
-distinct chunk is encoded once, by merge rounds over all new chunks together, and kept in a bounded
-cache; a text's ids are its chunks' ids joined. Chunks outside a plain set of letters go through the
-library itself, and texts with white space beyond ASCII go through it whole.
+Both vocabularies split a text into words before they merge. A word's ids don't depend on its
+neighbours, so each distinct word is merged once, together with all new words of its block
+(:mod:`.bpe`), and kept in a bounded cache; a text's ids are its words' ids joined. The split is done
+here for texts of plain Latin letters, digits, ASCII and a few signs, where it can't depend on a
+Unicode version or on normal forms; every other text goes through the library whole.
 """
 
 from __future__ import annotations
@@ -19,19 +19,14 @@ import numpy as np
 
 from .bpe import PairTable, merge_words
 
-#: Chunks kept for each process, and split words; the older half goes when one is full.
-CACHE = 400_000
-_GAP = rb"\x09-\x0d\x20"
-#: The same three cases as the byte vocabulary's own pattern has for white space.
-_BYTE_CHUNKS = re.compile(rb" ?[^" + _GAP + rb"]+|[" + _GAP + rb"]+(?![^" + _GAP + rb"])|[" + _GAP + rb"]+")
+#: Words kept for each process; the older half goes when it is full.
+CACHE = 500_000
 #: Letters whose lower case and composition don't look at their neighbours, whatever the Unicode version.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įĲ-ž"
 _SIGNS = "!-/:-@\\[-`{-~¡-©«-¬®-±´¶-¸»¿×÷‐-‧€"
-_PLAIN = re.compile(f" ?[{_LETTERS}{_SIGNS}0-9]+|[\x09-\x0d\x20]+")
+_PLAIN = re.compile(f"[{_LETTERS}{_SIGNS}0-9\x09-\x0d\x20]*")
 _WORD_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
-_BYTE_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\\s+")
-#: White space of Unicode that ASCII rules don't see.
-_FAR_GAP = re.compile("[\x1c-\x1f\u0085  ᠎ -     　]")
+_BYTE_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,8 +54,7 @@ class Encoder:
         letters, suffix = _byte_letters(), model.get("end_of_word_suffix") or ""
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int32)
-        self.cache: dict[bytes, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,50 +67,35 @@ class Encoder:
         sym[ends] = self.last[flat[ends]]
         ids, counts = merge_words(self.pairs, sym, lengths)
         data, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        self.parts.update(zip(words, (data[a:b] for a, b in zip([0, *end], end)), strict=False))
-
-    def _learn(self, missing: list[bytes]) -> None:
-        for held in (self.cache, self.parts):
-            if len(held) + len(missing) > CACHE:
-                keep = dict(islice(held.items(), len(held) // 2, None))
-                held.clear()
-                held.update(keep)
-        split = {}
-        for m in missing:
-            t = m.decode()
-            if _PLAIN.fullmatch(t):
-                split[m] = _WORD_PARTS.findall(t.lower()) if self.words else _BYTE_PARTS.findall(t)
-            else:
-                self.cache[m] = None if _FAR_GAP.search(t) else self.whole(t)
-        new = list(set().union(*split.values()) - self.parts.keys()) if split else []
-        for at in range(0, len(new), 1 << 16):
-            self._merge(new[at : at + (1 << 16)])
-        get = self.parts.__getitem__
-        for m, p in split.items():
-            self.cache[m] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        self.cache.update(zip(words, (data[a:b] for a, b in zip([0, *end], end)), strict=False))
+
+    def _learn(self, need: set[str]) -> None:
+        missing = [w for w in need if w not in self.cache]
+        if len(self.cache) + len(missing) > CACHE:
+            held = {w: self.cache[w] for w in need if w in self.cache}
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None)) | held
+        for at in range(0, len(missing), 1 << 16):
+            self._merge(missing[at : at + (1 << 16)])
+
+    def _split(self, text: str | None) -> list[str] | None:
+        if not text:
+            return []
+        if not _PLAIN.fullmatch(text):
+            return None
+        return _WORD_PARTS.findall(text.lower()) if self.words else _BYTE_PARTS.findall(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; a null text is empty."""
-        raw = [(t or "").encode() for t in texts]
         out, at = [], 0
-        while at < len(raw):  # about 4 MB at a time: what a step needs stays in the cache until it is used
+        while at < len(texts):  # about 4 MB at a time: what a step needs stays in the cache until it is used
             end, size = at, 0
-            while end < len(raw) and (end == at or size + len(raw[end]) <= 4 << 20):
-                size += len(raw[end])
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= 4 << 20):
+                size += len(texts[end] or "")
                 end += 1
-            chunks = [r.split() if self.words else _BYTE_CHUNKS.findall(r) for r in raw[at:end]]
-            need = set().union(*chunks)
-            missing = [c for c in need if c not in self.cache]
-            if missing:
-                kept = {c: self.cache[c] for c in need if c in self.cache} if len(self.cache) + len(missing) > CACHE else {}
-                self._learn(missing)
-                self.cache.update(kept)
+            split = [self._split(t) for t in texts[at:end]]
+            self._learn(set().union(*(x for x in split if x)))
             get = self.cache.__getitem__
-            for text, parts in zip(texts[at:end], chunks, strict=True):
-                try:
-                    out.append(b"".join(map(get, parts)))
-                except TypeError:  # white space beyond ASCII
-                    out.append(self.whole(text))
+            out += [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts[at:end], split, strict=True)]
             at = end
         return out
 
