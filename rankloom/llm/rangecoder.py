@@ -42,7 +42,7 @@ class Model:
         self.tries = np.full(128, 2.0)
         self.right2, self.right1 = np.full(128, 0.6), np.full(128, 0.4)
         self.counts = np.zeros(n_ids, np.int64)
-        self.step, self.next = 0, 0
+        self.step, self.next, self.waiting = 0, 0, []
         self._shares()
         self._intervals()
 
@@ -54,6 +54,9 @@ class Model:
         self.share2, self.share1 = (a * scale).astype(np.uint32), (b * scale).astype(np.uint32)
 
     def _intervals(self) -> None:
+        if self.waiting:
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.n)
+            self.waiting = []
         total = int(self.counts.sum())
         free = (1 << ZERO) - self.n
         size = 1 + (self.counts * free // total if total else np.full(self.n, free // self.n))
@@ -76,10 +79,11 @@ class Model:
         fresh = ids << 3 | 1
         self.two[self.at2] = np.where(hit2, self.e2 + ((self.e2 & 7) < 7), np.where((self.e2 & 7) > 1, self.e2 - 1, fresh))
         self.one[self.at1] = np.where(same1, self.e1 + ((self.e1 & 7) < 7), np.where((self.e1 & 7) > 1, self.e1 - 1, fresh))
-        self.tries += np.bincount(self.kind, minlength=128)
-        self.right2 += np.bincount(self.kind[hit2], minlength=128)
-        self.right1 += np.bincount(self.kind[hit1], minlength=128)
-        np.add.at(self.counts, missed, 32)
+        outcome = np.bincount(self.kind << 2 | hit2 | hit1.view(np.int8) << 1, minlength=512).reshape(128, 4)
+        self.tries += outcome.sum(axis=1)
+        self.right2 += outcome[:, 1]
+        self.right1 += outcome[:, 2]
+        self.waiting.append(missed)
         self.step += 1
         self._shares()
         if self.step >= self.next:  # after steps 1, 2, 4, 8, then every eighth

@@ -96,7 +96,7 @@ def attempt_name() -> str:
 
 
 #: Equal-width bins of a key's range; their table, 16 bytes a row, is all that range_shards() brings to the driver.
-BINS = 1 << 17
+BINS = 1 << 16
 
 
 class Shards:
@@ -154,3 +154,9 @@ def deal_by_shard(df: DataFrame, n: int, *order: Column) -> DataFrame:
     n = max(1, n)
     df = df.repartitionById(n, F.col("_shard").cast("int")) if hasattr(df, "repartitionById") else df.repartitionByRange(n, "_shard")
     return df.sortWithinPartitions("_shard", *order)
+
+
+def deal_files(manifest: DataFrame) -> DataFrame:
+    """A manifest's rows, the files of a shard to one task."""
+    n = (manifest.agg(F.max("shard")).first()[0] or 0) + 1
+    return manifest.repartitionById(n, F.col("shard")) if hasattr(manifest, "repartitionById") else manifest.repartition(n, "shard")

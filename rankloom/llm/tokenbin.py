@@ -23,25 +23,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .shared import attempt_name, deal_by_shard, range_shards, read_file, work_folder, write_file
+from .shared import attempt_name, deal_by_shard, deal_files, range_shards, read_file, work_folder, write_file
 from .tokenizing import encoder
 
 #: UTF-8 bytes of text that go to one shard, and so to one task.
 SHARD_BYTES = 24 << 20
-FILE_IDS = 8 << 20
+FILE_IDS = 4 << 20
 _HEAD = struct.Struct("<4sIIQII")  # magic, ids in the vocabulary, documents, ids, index bytes, index checksum
 _MAGIC = b"TKF1"
 MANIFEST = "shard int, file int, path string, n_docs bigint, n_ids bigint, n_bytes bigint, sha256 string"
 
 
 def pack_file(doc_ids: list[int | None], docs: list[bytes], n_ids: int) -> bytes:
-    """A file's bytes. docs: each document's ids, little-endian unsigned 32-bit."""
+    """A file's bytes. docs: each document's ids, little-endian unsigned 32-bit; the list is emptied."""
     counts = np.array([len(d) // 4 for d in docs], "<u4")
     index = np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array([i is None for i in doc_ids], np.uint8).tobytes() + counts.tobytes()
     index = zlib.compress(index, 6)
     ids = np.frombuffer(b"".join(docs), "<u4")
+    docs.clear()
     blocks = [rangecoder.encode_block(ids[a : a + rangecoder.BLOCK_IDS], n_ids) for a in range(0, len(ids), rangecoder.BLOCK_IDS)]
-    return b"".join([_HEAD.pack(_MAGIC, n_ids, len(docs), len(ids), len(index), zlib.crc32(index)), index, *blocks])
+    return b"".join([_HEAD.pack(_MAGIC, n_ids, len(counts), len(ids), len(index), zlib.crc32(index)), index, *blocks])
 
 
 def unpack_file(data: bytes) -> Iterator[tuple[int | None, int, bytes]]:
@@ -87,25 +88,19 @@ def write(docs: DataFrame, file: str, folder: str, *, text: str = "text", end_id
                 data = pack_file(ids, held, n_ids)
                 path = f"{folder}/shard-{shard:06d}-{number:04d}.tkf"
                 write_file(path, data, attempt)
-                made.append((shard, number, path, len(held), size // 4, len(data), hashlib.sha256(data).hexdigest()))
+                made.append((shard, number, path, len(ids), size // 4, len(data), hashlib.sha256(data).hexdigest()))
                 number, ids, held, size = number + 1, [], [], 0
 
         for b in batches:
-            shards, docs_, texts = (c.to_pylist() for c in b.columns)
-            at = 0
-            while at < len(texts):  # some documents at a time, so that a batch's ids don't all wait
-                to, load = at, 0
-                while to < len(texts) and (to == at or load < 4 << 20):
-                    load += len(texts[to] or "")
-                    to += 1
-                for s, d, x in zip(shards[at:to], docs_[at:to], enc.encode(texts[at:to]), strict=True):
+            for at in range(0, b.num_rows, 128):  # some documents at a time, so that a batch isn't held as text and as ids
+                shards, docs_, texts = (c.to_pylist() for c in b.slice(at, 128).columns)
+                for s, d, x in zip(shards, docs_, enc.encode(texts), strict=True):
                     if s != shard or size >= 4 * FILE_IDS:
                         close()
                         shard, number = s, number if s == shard else 0
                     ids.append(d)
                     held.append(x + end)
                     size += len(held[-1])
-                at = to
         close()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*made, strict=True) if made else [[]] * 7, [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["shard", "file", "path", "n_docs", "n_ids", "n_bytes", "sha256"])
 
@@ -150,9 +145,7 @@ def read(manifest: DataFrame, *, ids: bool = False) -> DataFrame:
                         rows = [[] for _ in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k], kinds[k]) for k in range(4 + ids)], names[: 4 + ids])
 
-    files = starts(manifest).select("path", "start", "sha256")
-    n = max(1, min(manifest.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return files.repartition(n).mapInArrow(run, schema)
+    return deal_files(starts(manifest)).select("path", "start", "sha256").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, file: str, *, text: str = "text", end_id: int = 2) -> DataFrame:

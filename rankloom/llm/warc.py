@@ -29,7 +29,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attempt_name, deal_by_shard, range_shards, read_file, work_folder, write_file
+from .shared import attempt_name, deal_by_shard, deal_files, range_shards, read_file, work_folder, write_file
 
 MIN_REVISIT = 1000
 #: Bytes of html that go to one shard, and so to one task; compressed bytes at which a file is closed.
@@ -210,8 +210,7 @@ def read(manifest: DataFrame, *, payload: bool = False) -> DataFrame:
                         rows, load = [], 0
                 yield made(rows)
 
-    n = max(1, min(manifest.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return manifest.select("path", "sha256").repartition(n).mapInArrow(run, schema)
+    return deal_files(manifest).select("path", "sha256").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
