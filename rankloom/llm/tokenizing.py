@@ -109,7 +109,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each whole text; a null text is empty."""
         if self.ranked is not None:
             ids = self.ranked.encode_ordinary
-            return [(array("I", ids(t)).tobytes() if _PLAIN.fullmatch(t) else self.whole(t)) if t else b"" for t in texts]
+            return [(array("I", ids(t)).tobytes() if t.isascii() or _PLAIN.fullmatch(t) else self.whole(t)) if t else b"" for t in texts]
         out, at = [], 0
         while at < len(texts):  # about 2 MB at a time: what a step needs stays in the cache until it is used
             end, size = at, 0
