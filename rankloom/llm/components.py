@@ -2,7 +2,7 @@
 
 A round hooks every node to its smallest neighbour, follows the hooks to their ends, and keeps the
 edges between different ends; a handful of rounds leaves none. Every table that a join reads is
-first cut off in the shared folder: a join's both sides are then plain exchanges, whose large
+first written to the shared folder: a join's both sides are then plain exchanges, whose large
 partitions Spark can split, so a node with many neighbours is no task's burden. Nothing but counts
 reaches the driver.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import checkpoint, scratch
 
 
 def _follow(hooks: DataFrame) -> DataFrame:
@@ -30,6 +30,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops and nulls are dropped, repeated and reversed edges count once; no edges, no rows.
     """
+    with scratch(edges.sparkSession) as keep:
+        return keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = checkpoint(pairs.distinct())
     labels = None
@@ -46,6 +51,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         half = checkpoint(pairs.join(ra, "a").select(F.col("ra"), "b").distinct())
         next_ = half.join(rb, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         pairs = checkpoint(next_.distinct())
-    if labels is None:
-        return pairs.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return labels.select("node", F.col("root").alias("component"))
+    labels = pairs.select(F.col("a").alias("node"), F.col("a").alias("root")) if labels is None else labels
+    return checkpoint(labels.select("node", F.col("root").alias("component")))

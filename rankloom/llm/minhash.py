@@ -9,11 +9,13 @@
   similarity. The sizes of the sets bound it too. What could reach the threshold is confirmed on the
   full sets, made again from the whole texts.
 * Confirmed links give components. A pair in a bucket whose ends lie in one component already needs
-  no more work; all other pairs of the bucket are then estimated and confirmed the same way, so a
-  link that doesn't run through a bucket's smallest member isn't lost.
+  no more work. Members of buckets that aren't one component yet are gathered under the smallest
+  member of their bucket, which most buckets of a group share, dealt in blocks of bounded size, and
+  pairs of blocks are looked at whole: estimates for all pairs, full sets for those that could be
+  links, none for ends that a link has joined meanwhile. Only links leave a block.
 
 With 36 bands of 5 a link at similarity 0.8 escapes all buckets with probability 7e-7. The estimate
-drops a pair below 0.6; of 180 two-bit lanes a link at 0.8 does so with probability under 1e-7.
+drops a pair below 0.64; of 180 two-bit lanes a link at 0.8 does so with probability 4e-6.
 
 Defined results: documents without words have an empty set and link with nothing; a document with
 fewer words than a shingle is one shingle; rows without doc_id link with nothing, have no component
@@ -30,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import checkpoint
+from .shared import checkpoint, scratch
 
 ROWS, BANDS, BITS = 5, 36, 2
 LANES = ROWS * BANDS
 WORDS64 = -(-LANES * BITS // 64)
 #: Estimates below this aren't confirmed.
-LEAST = 0.6
+LEAST = 0.64
+#: Documents in a block of those that their bucket's smallest member didn't settle.
+BLOCK = 512
 U64, U32 = np.uint64, np.uint32
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -208,13 +212,18 @@ def estimate(a: str, b: str) -> Column:
     return (F.lit(1.0) - differ / F.lit(float(LANES)) - F.lit(chance)) / F.lit(1 - chance)
 
 
+def _possible(percent: int) -> Column:
+    """Whether sizes (_na, _nb) and signatures (_sa, _sb) leave the threshold possible."""
+    sizes = F.lit(100) * F.least("_na", "_nb") >= F.lit(percent) * F.greatest("_na", "_nb")
+    return sizes & (estimate("_sa", "_sb") >= F.lit(LEAST))
+
+
 def _candidates(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and estimate leave the threshold possible."""
+    """Pairs (a, b) that could reach the threshold."""
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_sa"), F.col("n_shingles").alias("_na"))
     right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_sb"), F.col("n_shingles").alias("_nb"))
     near = checkpoint(pairs.join(left, "a")).join(right, "b")
-    sizes = F.lit(100) * F.least("_na", "_nb") >= F.lit(percent) * F.greatest("_na", "_nb")
-    return checkpoint(near.filter(sizes & (estimate("_sa", "_sb") >= F.lit(LEAST))).select("a", "b"))
+    return checkpoint(near.filter(_possible(percent)).select("a", "b"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, text: str = "text") -> DataFrame:
@@ -228,18 +237,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, shingle: int, percent: int, te
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def of(text: str) -> set:
-            words = text.encode().lower().split()  # bytes: A-Z only, and exactly the six white-space bytes
-            return set(zip(*(words[j:] for j in range(shingle)), strict=False)) if len(words) >= shingle else ({tuple(words)} if words else set())
-
         for b in batches:
             good, known, last = [], None, None
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for ta, tb in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if ta != last:  # rows come sorted by a, which many pairs share
-                        last, known = ta, of(ta)
-                    x = of(tb)
+                        last, known = ta, _set_of(ta, shingle)
+                    x = _set_of(tb, shingle)
                     common = len(x & known)
                     good.append(100 * common >= percent * (len(x) + len(known) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -258,22 +263,86 @@ def links(docs: DataFrame, sigs: DataFrame, *, shingle: int, percent: int, text:
     shared = checkpoint(members.join(buckets, "key"))  # members of buckets with more than one
     light = sigs.select("doc_id", "sig", "n_shingles")
     star = checkpoint(shared.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
-    near = confirm(_candidates(star, light, percent), docs, shingle=shingle, percent=percent, text=text)
-    near = checkpoint(near)
-    # The rest of each bucket: pairs whose ends are not connected yet and that haven't met.
+    near = checkpoint(confirm(_candidates(star, light, percent), docs, shingle=shingle, percent=percent, text=text))
     named = connected_components(near).select(F.col("node").alias("doc_id"), "component")
-    placed = checkpoint(shared.select("key", "doc_id", "least").join(named, "doc_id", "left").select("key", "doc_id", "least", F.coalesce("component", "doc_id").alias("component")))
+    placed = checkpoint(shared.join(named, "doc_id", "left").select("key", "doc_id", "least", F.coalesce("component", "doc_id").alias("component")))
     split = checkpoint(placed.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count(F.lit(1)).alias("_n")).filter("_c < _d and _n > 2").select("key"))
-    rest = checkpoint(placed.join(split, "key").filter("doc_id <> least").select("key", "doc_id", "component"))
-    x, y = rest.select("key", F.col("doc_id").alias("a"), F.col("component").alias("_ca")), rest.select("key", F.col("doc_id").alias("b"), F.col("component").alias("_cb"))
-    more = checkpoint(x.join(y, "key").filter("a < b and _ca <> _cb").select("a", "b").distinct())
-    far = confirm(_candidates(more, light, percent), docs, shingle=shingle, percent=percent, text=text)
-    return near.unionByName(far).unionByName(copies)
+    rest = checkpoint(placed.join(split, "key").filter("doc_id <> least").select("least", "doc_id", "component").distinct())
+    return near.unionByName(_settle(rest, light, docs, shingle=shingle, percent=percent, text=text)).unionByName(copies)
+
+
+def _settle(rest: DataFrame, light: DataFrame, docs: DataFrame, *, shingle: int, percent: int, text: str) -> DataFrame:
+    """Links (a, b) between documents under one ``least`` that lie in different components."""
+    ids = checkpoint(rest.select("doc_id").distinct())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
+    sigs = light.join(ids, "doc_id", "left_semi")
+    known = checkpoint(texts.join(sigs, "doc_id"))
+    blocks = checkpoint(rest.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks")))
+    dealt = checkpoint(rest.join(blocks, "least")).join(known, "doc_id").withColumn("_mine", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("least", F.least("_mine", "_other").alias("p"), F.greatest("_mine", "_other").alias("q"), "_mine", "doc_id", "component", "n_shingles", "sig", "text")
+    ones = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+
+    def run(table):
+        import pyarrow as pa
+
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        ids, comp, sizes, mine, p, q = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "_mine", "p", "q"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), WORDS64)
+        texts, sets, parent = table.column("text"), {}, {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        def of(k: int) -> frozenset:
+            if k not in sets:
+                sets[k] = _set_of(texts[k].as_py(), shingle)
+            return sets[k]
+
+        found_a, found_b, chance = [], [], 1 / (1 << BITS)
+        for k in range(len(ids) - 1):
+            rest_ = slice(k + 1, len(ids))
+            differ = np.zeros(len(ids) - k - 1, np.int64)
+            for w in range(WORDS64):
+                x = sig[rest_, w] ^ sig[k, w]
+                for s in range(1, BITS):
+                    x = x | (x >> U64(s))
+                differ += np.bitwise_count(x & ones)
+            close = (1 - differ / LANES - chance) / (1 - chance) >= LEAST
+            close &= 100 * np.minimum(sizes[rest_], sizes[k]) >= percent * np.maximum(sizes[rest_], sizes[k])
+            close &= comp[rest_] != comp[k]
+            if p[0] != q[0]:
+                close &= mine[rest_] != mine[k]
+            for j in (np.flatnonzero(close) + k + 1).tolist():
+                a, b = top(int(comp[k])), top(int(comp[j]))
+                if a == b:
+                    continue
+                x, y = of(k), of(j)
+                common = len(x & y)
+                if common and 100 * common >= percent * (len(x) + len(y) - common):
+                    parent[max(a, b)] = min(a, b)
+                    found_a.append(int(ids[k]))
+                    found_b.append(int(ids[j]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return checkpoint(dealt.groupBy("least", "p", "q").applyInArrow(run, "a bigint, b bigint"))
+
+
+def _set_of(text: str, shingle: int) -> frozenset:
+    """A whole text's distinct shingles. Bytes: lower() changes A-Z only, split() knows exactly the six white-space bytes."""
+    words = text.encode().lower().split()
+    return frozenset(zip(*(words[j:] for j in range(shingle)), strict=False)) if len(words) >= shingle else (frozenset([tuple(words)]) if words else frozenset())
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
-    sigs = checkpoint(signatures(docs, shingle=shingle, text=text))
-    found = connected_components(links(docs, sigs, shingle=shingle, percent=percent, text=text)).withColumnRenamed("node", "doc_id")
+    with scratch(docs.sparkSession) as keep:
+        sigs = checkpoint(signatures(docs, shingle=shingle, text=text))
+        found = keep(connected_components(links(docs, sigs, shingle=shingle, percent=percent, text=text))).withColumnRenamed("node", "doc_id")
+        sigs = keep(checkpoint(sigs.select("doc_id", "n_shingles")))
     out = sigs.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

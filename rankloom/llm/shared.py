@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,54 @@ def shared_root(spark: SparkSession) -> str:
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rankloom"
         spark._rankloom_root = root
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor loses nothing."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage through a table in the shared folder, so that a lost executor loses nothing.
+
+    A written table rather than ``DataFrame.checkpoint``: that keeps the size estimates of the plan
+    it replaces, which joins multiply, until after some rounds planning takes longer than the work.
+    A table has its true size, so small sides are also broadcast where Spark's threshold allows.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, "table")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rankloom_path = path
+    if _SCOPES:
+        _SCOPES[-1].add(path)
+    return out
+
+
+_SCOPES: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that checkpoint() writes inside go at the end, but for those given to the function this yields."""
+    made: set[str] = set()
+    _SCOPES.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = df._rankloom_path
+        made.discard(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].add(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -49,10 +89,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def _remove_made() -> None:
-    for _, path in _MADE:
+    for spark, path in _MADE:
         try:
-            fs, p = filesystem(path)
-            fs.delete_dir(p)
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+            else:
+                fs, p = filesystem(path)
+                fs.delete_dir(p)
         except Exception:  # noqa: BLE001, S112 - the folder may be gone with its store
             continue
 
