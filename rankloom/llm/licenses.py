@@ -98,7 +98,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         kept = f"filter(_blocks, b -> size(b.words) >= {need} and arrays_overlap(b.words, {_array(prefix)}) and {len(words)} - {place} + 1 >= {need} and {overlap} >= {need})"
         found.append(f"transform({kept}, b -> struct('{label}' as label, b.line as line, {overlap} as overlap, {len(words)} as size))")
     d = d.withColumn("matches", F.expr("if(size(_blocks) = 0, cast(array() as array<struct<label: string, line: int, overlap: int, size: int>>), concat(" + ", ".join(found) + "))"))
-    d = d.withColumn("_labels", F.expr("array_sort(array_distinct(concat(_base, transform(matches, m -> m.label))))"))
+    d = d.withColumn("_labels", F.expr("if(spark_partition_id() >= 0, array_sort(array_distinct(concat(_base, transform(matches, m -> m.label)))), null)"))  # so that no filter moves below the scan
     return d.select(
         *keep,
         F.col("_n").alias("n_words"),

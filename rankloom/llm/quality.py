@@ -67,7 +67,8 @@ def ledger(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
     for bit, (_, fails) in enumerate(RULES):
         b = F.when(F.expr(fails), F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         bits = b if bits is None else bits.bitwiseOR(b)
-    return d.select(*keep, *MEASURES).withColumn("fail_bits", bits)
+    # A filter on the bits must stay above them: pushed below, it would repeat every measurement wherever it is used.
+    return d.select(*keep, *MEASURES).withColumn("fail_bits", F.when(F.spark_partition_id() >= 0, bits))
 
 
 def passes(policy: str, bits: str = "fail_bits") -> Column:
