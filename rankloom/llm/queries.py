@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, licenses, minhash, packing, pieces, quality, tokenbin, warc
+from . import html_text, langid, licenses, minhash, multiindex, packing, pieces, quality, tokenbin, warc
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _SENT: set[str] = set()
@@ -61,6 +61,10 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -82,9 +86,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
@@ -92,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_binary": op10_token_binary,
+    "pipeline": pipeline,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
