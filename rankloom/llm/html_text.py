@@ -51,6 +51,7 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "pagination pager skip toolbar masthead".split()
 )
+TEASERS = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies teaser".split())
 KEEP_INSIDE = frozenset(("article", "main"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -76,7 +77,7 @@ def _dropped(tag: str, attributes: str, node: Node) -> bool:
         inside, up = up.tag in KEEP_INSIDE, up.parent
     if tag == "header" and not inside:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -88,7 +89,10 @@ def _dropped(tag: str, attributes: str, node: Node) -> bool:
                 return True
         else:
             words = _NAME.findall(_CAMEL.sub(" ", value).lower())
-            if NAMES & set(words) or (not inside and "header" in words):
+            if tag == "article":  # a reader's comment or a teaser may be one
+                if TEASERS & set(words):
+                    return True
+            elif NAMES & set(words) or (not inside and "header" in words):
                 return True
     return False
 

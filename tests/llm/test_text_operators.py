@@ -129,6 +129,7 @@ T = "The quick brown fox jumps over the lazy dog and then some more words follow
         (f"<body><div id=content><p>{T}</p><section><p>{T}</p></section></div><div class='comment-list'><p>{T}</p></div></body>", T.strip() + "\n" + T.strip()),
         (f"<article><p>{T}</p><form><p>{T}</p></form><script>var a='<p>x</p>'</script></article>", T.strip()),
         (f"<article><header><h1>T</h1></header><p>{T}</p><section class=comments><p>{T}</p></section></article>", "T\n" + T.strip()),
+        (f"<article><p>{T}</p></article><div><article class='comment'><p>{T}{T}</p></article></div>", T.strip()),
         ("<script>x", ""),
         ("<!-- <p>no</p> --><p>yes</p>", "yes"),
     ],
