@@ -1,0 +1 @@
+"""Reserved: no operator of the inventory streams, so nothing is defined here."""
