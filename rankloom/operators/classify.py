@@ -53,20 +53,21 @@ def nb_scores(model: NaiveBayes, pages: DataFrame, algorithm: str = "mnb") -> Da
     """doc_id, _h (hash of the page's text), label, score for each page and class; rows equal in both are one."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm {algorithm!r} is none of {ALGORITHMS}")
-    docs = pages.select("doc_id", page_text().alias("t")).distinct().select("doc_id", F.xxhash64("t").alias("_h"), tokens_alpha(F.col("t")).alias("tokens"))
-    heads = docs.select("doc_id", "_h", F.size("tokens").alias("_len"))
+    docs = pages.select("doc_id", F.xxhash64(page_text()).alias("_h"), tokens_alpha(page_text()).alias("tokens"))
+    # Equal rows count their words _n times; dividing the sums by _n spares an exchange of the texts.
+    heads = docs.groupBy("doc_id", "_h").agg(F.max(F.size("tokens")).alias("_len"), F.count(F.lit(1)).alias("_n"))
     tf = docs.select("doc_id", "_h", F.explode("tokens").alias("term")).groupBy("doc_id", "_h", "term").agg(F.count(F.lit(1)).alias("tf"))
     base = heads.join(model.classes.join(model.size))  # documents x classes: what is asked for
     key = ["doc_id", "_h", "label"]
     if algorithm == "mnb":
         seen = tf.join(model.words, "term").groupBy(*key).agg(F.sum(F.col("tf") * F.log(F.col("cnt") + 1)).alias("_seen"))
-        score = F.col("log_prior") + F.coalesce("_seen", F.lit(0.0)) - F.col("_len") * F.log(F.col("total") + F.col("v"))
+        score = F.col("log_prior") + F.coalesce("_seen", F.lit(0.0)) / F.col("_n") - F.col("_len") * F.log(F.col("total") + F.col("v"))
         return base.join(seen, key, "left").select(*key, score.alias("score"))
     both = tf.join(model.terms, "term")
     every = both.groupBy("doc_id", "_h").agg(F.sum(F.col("tf") * F.log(F.col("tot") + 1)).alias("_every"))
     less = F.log(F.col("tot") - F.col("cnt") + 1) - F.log(F.col("tot") + 1)
     seen = both.join(model.words, "term").groupBy(*key).agg(F.sum(F.col("tf") * less).alias("_seen"))
-    score = F.col("log_prior") - (F.coalesce("_every", F.lit(0.0)) + F.coalesce("_seen", F.lit(0.0)) - F.col("_len") * F.log(F.col("total_all") - F.col("total") + F.col("v")))
+    score = F.col("log_prior") - ((F.coalesce("_every", F.lit(0.0)) + F.coalesce("_seen", F.lit(0.0))) / F.col("_n") - F.col("_len") * F.log(F.col("total_all") - F.col("total") + F.col("v")))
     return base.join(every, ["doc_id", "_h"], "left").join(seen, key, "left").select(*key, score.alias("score"))
 
 
