@@ -161,8 +161,37 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest,
 FROM r
 """
 
+_REACH = """r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)"""
+_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM s x JOIN s y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.n > 0 AND y.n > 0
+      WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.98),
+{_REACH},
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+_NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WHITE}+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
+      FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 1 THEN [1] ELSE range(1, len(ws)) END) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+h AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+l AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
+{_REACH}
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(c.least, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": _WARC,
+    "op3_embedding_dedup": _VECTORS,
+    "op7_minhash": _NEAR,
     "op5_quality_rules": _QUALITY,
     "op8_license_scan": _license_sql(),
 }
