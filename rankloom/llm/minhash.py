@@ -40,7 +40,7 @@ WORDS64 = -(-LANES * BITS // 64)
 #: Estimates below this aren't confirmed.
 LEAST = 0.64
 #: Documents in a block of those that their bucket's smallest member didn't settle.
-BLOCK = 512
+BLOCK = 256
 U64, U32 = np.uint64, np.uint32
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
