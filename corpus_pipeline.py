@@ -30,8 +30,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language."""
     ship(spark)
-    found = langid.predict(_rows(docs), langid.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column can clash with the operator's own
+    found = langid.predict(docs.toDF(*names), langid.fit(docs), text=names[docs.columns.index("text")])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,7 +299,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
             htmls, at = b.column(2).to_pylist(), 0
             while at < len(htmls):
                 to, load = at, 0

@@ -35,6 +35,8 @@ ORDERS = (4, 3, 2, 1)
 #: Pseudo-counts of a word, and of an n-gram, in a language that hasn't shown it.
 SMOOTH = 0.2
 CACHE = 200_000
+#: Rows of a batch that are in Python at a time.
+SLICE = 512
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -121,9 +123,9 @@ class Predictor:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out, at = [], 0
-        while at < len(texts):  # about 4 MB of text at a time
+        while at < len(texts):  # about 2 MB of text at a time
             to, load, split = at, 0, []
-            while to < len(texts) and (to == at or load < 4 << 20):
+            while to < len(texts) and (to == at or load < 2 << 20):
                 load += len(texts[to] or "")
                 split.append(_WORD.findall(texts[to].lower()) if texts[to] else [])
                 to += 1
@@ -172,9 +174,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         p = Predictor(shared.value)
-        for b in batches:
-            found = p.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                b = batch.slice(k, SLICE)
+                found = p.predict(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

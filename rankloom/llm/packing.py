@@ -26,6 +26,8 @@ from .tokenizing import encoder
 CAPACITY = 4096
 #: Shares that the pieces of one length are dealt to before they are numbered, so that no length meets in one task.
 SHARES = 256
+#: Rows of a batch that are in Python at a time.
+SLICE = 512
 
 
 class SegmentTree:
@@ -106,7 +108,7 @@ def tokenize_pieces(docs: DataFrame, file: str, *, text: str = "text", end_id: i
         import pyarrow as pa
 
         enc, end = encoder(file, True), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE)):
             rows: list[list] = [[] for _ in range(6)]
             for doc, data in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 data += end

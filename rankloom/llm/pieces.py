@@ -27,8 +27,10 @@ from .bpe import PairTable, merge_words
 
 META = "▁"
 #: Units kept for each process; the older half goes when it is full.
-CACHE = 400_000
+CACHE = 250_000
 BLOCK = 2 << 20
+#: Rows of a batch that are in Python at a time.
+SLICE = 512
 
 
 class Pieces:
@@ -211,7 +213,7 @@ def encode(docs: DataFrame, file: str, *, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         p = pieces(file)
-        for b in batches:
+        for b in (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE)):
             doc, texts = b.column(0), b.column(1).to_pylist()
             for at, end in _blocks(texts):
                 yield pa.RecordBatch.from_arrays([doc.slice(at, end - at), pa.array(p.encode(texts[at:end]), pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -242,7 +244,7 @@ def round_trip_digests(docs: DataFrame, file: str, *, text: str = "text") -> Dat
 
         p, sha = pieces(file), lambda x: hashlib.sha256(x).hexdigest()
         decimal = [str(i) for i in range(p.n)].__getitem__
-        for b in batches:
+        for b in (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE)):
             texts, rows = b.column(1).to_pylist(), ([], [], [])
             for at, end in _blocks(texts):
                 ids = p.encode(texts[at:end])
