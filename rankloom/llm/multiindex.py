@@ -161,40 +161,49 @@ def place(reps: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
 
 
 def verify(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """vec_id, n (weights of linked vectors in a block pair) and root (the smallest id it reaches there)."""
+    """vec_id, n (weights of linked vectors in a block pair) and root (the smallest id it reaches there).
+
+    A cell's own rows are dealt in blocks, its visitors in chunks four times as large. Every pair of
+    blocks meets once, and every block meets every chunk; visitors don't meet each other.
+    """
     key = ["label", "_dim", "cell"]
     rows = placed.withColumn("_dim", F.size("embedding"))
-    counts = checkpoint(rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks")))
-    dealt = rows.join(counts, key).withColumn("_mine", F.pmod(F.xxhash64("vec_id", "visitor"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("p", F.least("_mine", "_other")).withColumn("q", F.greatest("_mine", "_other"))
+    share = lambda visits, size: F.ceil(F.sum(F.when(F.col("visitor") == visits, 1).otherwise(0)) / F.lit(size)).cast("int")
+    counts = checkpoint(rows.groupBy(*key).agg(share(False, block).alias("_blocks"), share(True, 4 * block).alias("_chunks")).filter("_blocks > 0"))
+    dealt = rows.join(counts, key).withColumn("_mine", F.pmod(F.xxhash64("vec_id"), F.when(F.col("visitor"), F.col("_chunks")).otherwise(F.col("_blocks"))).cast("int"))
+    each = lambda n, x: f"if({n} > 0, transform(sequence(0, {n} - 1), o -> {x}), cast(array() as array<struct<p: int, q: int, c: int>>))"
+    of_member = f"concat({each('_blocks', 'struct(least(_mine, o) as p, greatest(_mine, o) as q, -1 as c)')}, {each('_chunks', 'struct(_mine as p, -1 as q, o as c)')})"
+    of_visitor = each("_blocks", "struct(o as p, -1 as q, _mine as c)")
+    dealt = dealt.withColumn("_to", F.explode(F.expr(f"if(visitor, {of_visitor}, {of_member})")))
+    dealt = dealt.select(*key, "_to.p", "_to.q", "_to.c", "_mine", "vec_id", "weight", "visitor", "embedding")
 
     def run(table):
         import pyarrow as pa
 
-        ids = table.column("vec_id").to_numpy()
-        weight = table.column("weight").to_numpy()
-        visitor = table.column("visitor").to_numpy()
-        flat = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64)
-        x = flat.reshape(len(ids), -1)
+        ids, weight, visitor, mine = (table.column(c).to_numpy() for c in ("vec_id", "weight", "visitor", "_mine"))
+        p, q, c = (table.column(x)[0].as_py() for x in ("p", "q", "c"))
+        x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
         norm = np.linalg.norm(x, axis=1)
-        p, q, mine = (table.column(c).to_numpy() for c in ("p", "q", "_mine"))
-        s = (x @ x.T) / (norm[:, None] * norm[None, :])
-        link = (s >= threshold) & (ids[:, None] != ids[None, :]) & ~(visitor[:, None] & visitor[None, :])
-        if p[0] != q[0]:
-            link &= mine[:, None] != mine[None, :]  # pairs inside a block are the concern of (p, p)
-        some = np.flatnonzero(link.any(axis=1))
-        link = link[np.ix_(some, some)]
-        root = ids[some].copy()
-        while len(some):
-            low = np.minimum(root, np.where(link, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-            if (low == root).all():
+        left = np.flatnonzero(~visitor & (mine == p) if c < 0 else ~visitor)
+        right = np.flatnonzero(mine == q if c < 0 else visitor)
+        link = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= threshold
+        link &= ids[left][:, None] != ids[right][None, :]
+        some, other = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+        link, left, right = link[np.ix_(some, other)], left[some], right[other]
+        top, top_other, far = ids[left].copy(), ids[right].copy(), np.iinfo(np.int64).max
+        while len(left):
+            low = np.minimum(top, np.where(link, top_other[None, :], far).min(axis=1))
+            low_other = np.minimum(top_other, np.where(link, low[:, None], far).min(axis=0))
+            if (low == top).all() and (low_other == top_other).all():
                 break
-            root = low
-        n = link @ weight[some]
-        return pa.table({"vec_id": pa.array(ids[some], pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array(root, pa.int64())})
-
-    return dealt.select(*key, "p", "q", "_mine", "vec_id", "weight", "visitor", "embedding").groupBy(*key, "p", "q").applyInArrow(run, "vec_id bigint, n bigint, root bigint")
+            top, top_other = low, low_other
+        out = [(ids[left], link @ weight[right], top)]
+        if c >= 0 or p != q:  # else both sides are the same rows
+            out.append((ids[right], weight[left] @ link, top_other))
+        cat = lambda k: pa.array(np.concatenate([o[k] for o in out]), pa.int64())
+        return pa.table({"vec_id": cat(0), "n": cat(1), "root": cat(2)})
+
+    return dealt.groupBy(*key, "p", "q", "c").applyInArrow(run, "vec_id bigint, n bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, vector: str = "embedding", label: str = "label", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
