@@ -27,7 +27,7 @@ CAPACITY = 4096
 #: Shares that the pieces of one length are dealt to before they are numbered, so that no length meets in one task.
 SHARES = 256
 #: Rows of a batch that are in Python at a time.
-SLICE = 512
+SLICE = 1024
 
 
 class SegmentTree:

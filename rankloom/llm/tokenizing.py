@@ -21,7 +21,7 @@ import numpy as np
 from .bpe import PairTable, merge_words
 
 #: Words kept for each process; the older half goes when it is full.
-CACHE = 250_000
+CACHE = 400_000
 #: Letters whose lower case and composition don't look at their neighbours, whatever the Unicode version.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įĲ-ž"
 _SIGNS = "!-/:-@\\[-`{-~¡-©«-¬®-±´¶-¸»¿×÷‐-‧€"
