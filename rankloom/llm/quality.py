@@ -46,7 +46,7 @@ def ledger(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
     union of ``[place, place + 3)``. Texts without a repeat stop after one pass over a hash set.
     """
     d = docs.select(*[F.col(k) for k in keep], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    d = d.withColumn("_trim", F.expr(r"btrim(_t, ' \t\n\u000B\f\r')"))
+    d = d.withColumn("_trim", F.expr(r"btrim(_t, ' \t\n\u000B\u000C\r')"))
     d = d.withColumn("_words", F.expr(r"if(_trim = '', cast(array() as array<string>), split(_trim, '[\\x20\\x09-\\x0D]+'))"))
     d = d.withColumn("_lines", F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     d = d.withColumn("_tri", F.expr("if(size(_words) < 3, cast(array() as array<bigint>), transform(slice(_words, 1, size(_words) - 2), (w, i) -> xxhash64(w, _words[i + 1], _words[i + 2])))"))

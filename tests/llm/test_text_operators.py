@@ -50,6 +50,15 @@ def test_quality_measures(spark):
     assert quality.apply_policy(quality.ledger(docs(spark))).filter("kept").count() == sum(r.kept for r in got)
 
 
+EDGES = ["f", "off", "\x0cfirst of", "of\x0c", "\x0c", "\x0c \x0c", "fff a fff", "auf \x0b\x0c", "\x0bx\x0b", "one two of one two of", "\x0cone two three\x0cone two three\x0c", "of of of of"]
+
+
+def test_quality_edges_keep_their_letters(spark):
+    d = spark.createDataFrame(list(enumerate(EDGES)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.ledger(d).collect()}
+    assert got == dict(enumerate(map(plain_quality, EDGES)))
+
+
 def test_quality_ablation(spark):
     led = quality.ledger(docs(spark)).persist()
     rows = {(r.policy, r.rule): r for r in quality.ablation(led).collect()}
