@@ -8,6 +8,10 @@ A block with fewer than ``need`` distinct words is out by length; a block whose
 at place ``p`` can hold ``size - p`` words at most, which the positional filter compares with
 ``need``. Only what is left is intersected in full, so the result is exact.
 
+A template that line ends cross is no block of ``matches``. ``passages`` holds it: every window of as
+many consecutive words of the whole text as the template has, under the same threshold and prefix
+filter. ``labels`` and ``score`` go by lines, as the SQL of the query says; ``all_labels`` by both.
+
 Defined results: a null text is empty; ids and repeated rows are scanned row by row; an empty table
 gives an empty result and every word the count 0.
 """
@@ -62,9 +66,10 @@ def word_frequencies(docs: DataFrame, *, text: str = "text") -> dict[str, int]:
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, frequencies: dict[str, int] | None = None) -> DataFrame:
-    """``keep``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels`` and ``matches``.
+    """``keep``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``matches``, ``passages`` and ``all_labels``.
 
     ``matches``: (label, line, overlap, size) for every block and template over the threshold.
+    ``passages``: (label, word, overlap, size) for every window and template over it, whatever lines the window crosses.
     A projection: no row leaves its partition.
     """
     freq = frequencies if frequencies is not None else word_frequencies(docs, text=text)
@@ -87,11 +92,11 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     for t, label in TEMPLATES:
         words = order(t.split())
         need = -int(-(threshold * len(words)) // 1)
-        sets.append((label, words, need, words[: len(words) - need + 1]))
-    prefixes = sorted({w for *_, p in sets for w in p})
+        sets.append((label, words, need, words[: len(words) - need + 1], len(t.split())))
+    prefixes = sorted({w for *_, p, _ in sets for w in p})
     d = d.withColumn("_blocks", F.expr(f"if(arrays_overlap(_words, {_array(prefixes)}), filter(transform(split(_low, '\\n'), (l, i) -> struct(i as line, array_distinct(array_remove(split(l, '{_SPLIT}'), '')) as words)), b -> arrays_overlap(b.words, {_array(prefixes)})), cast(array() as array<struct<line: int, words: array<string>>>))"))
     found = []
-    for label, words, need, prefix in sets:
+    for label, words, need, prefix, _ in sets:
         # Place of the first prefix word that the block holds; need of the words from there on must be left.
         place = f"array_position({_array(words)}, array_intersect({_array(prefix)}, b.words)[0])"
         overlap = f"size(array_intersect(b.words, {_array(words)}))"
@@ -99,6 +104,16 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         found.append(f"transform({kept}, b -> struct('{label}' as label, b.line as line, {overlap} as overlap, {len(words)} as size))")
     d = d.withColumn("matches", F.expr("if(size(_blocks) = 0, cast(array() as array<struct<label: string, line: int, overlap: int, size: int>>), concat(" + ", ".join(found) + "))"))
     d = d.withColumn("_labels", F.expr("if(spark_partition_id() >= 0, array_sort(array_distinct(concat(_base, transform(matches, m -> m.label)))), null)"))  # so that no filter moves below the scan
+    # The same for windows of words. A text without need of a template's words has no window; any other is looked at around its prefix words.
+    d = d.withColumn("_present", F.expr(f"array_intersect({_array(sorted({w for _, words, *_ in sets for w in words}))}, _words)"))
+    windows = []
+    for label, words, need, prefix, n in sets:
+        at = f"filter(transform(_words, (w, i) -> if(array_contains({_array(prefix)}, w), i, -1)), i -> i >= 0)"
+        starts = f"array_distinct(flatten(transform({at}, i -> sequence(greatest(i - {n - 1}, 0), i))))"
+        overlap = f"size(array_intersect(slice(_words, i + 1, {n}), {_array(words)}))"
+        over = f"filter(transform({starts}, i -> struct('{label}' as label, i as word, {overlap} as overlap, {len(words)} as size)), m -> m.overlap >= {need})"
+        windows.append(f"if(size(array_intersect(_present, {_array(words)})) >= {need}, {over}, cast(array() as array<struct<label: string, word: int, overlap: int, size: int>>))")
+    d = d.withColumn("passages", F.expr("concat(" + ", ".join(windows) + ")"))
     return d.select(
         *keep,
         F.col("_n").alias("n_words"),
@@ -109,4 +124,6 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.array_join("_labels", ",").alias("labels"),
         F.expr("if(n_base > 0, 1D, coalesce(array_max(transform(matches, m -> cast(m.overlap as double) / m.size)), 0D))").alias("score"),
         "matches",
+        "passages",
+        F.expr("array_join(array_sort(array_union(_labels, transform(passages, m -> m.label))), ',')").alias("all_labels"),
     )

@@ -83,7 +83,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches", "passages", "all_labels")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,36 @@ def test_license_scan(spark):
     assert all(0 <= r.score <= 1 and (r.score > 0) == (r.labels != "") for r in licenses.scan(docs(spark, texts)).collect())
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "gpl": "    This program is free software; you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions",
+}
+
+
+def plain_passages(t):
+    v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for tpl, label in licenses.TEMPLATES:
+        n, words = len(tpl.split()), set(tpl.split())
+        for i in range(len(v)):
+            have = len(set(v[i : i + n]) & words)
+            if have >= licenses.THRESHOLD * len(words) - 1e-9:
+                out.append((label, i, have, len(words)))
+    return sorted(out)
+
+
+def test_license_passages_cross_lines(spark):
+    texts = [*WRAPPED.values(), "\n".join(WRAPPED.values()), "all\nrights\n\nreserved", "all of the\nrights are reserved", WRAPPED["mit"].replace("\n", "\nbut nothing of the kind is meant here\n"), *TEXTS]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in licenses.scan(d).collect()}
+    assert [rows[i].all_labels for i in range(6)] == ["mit", "gpl", "bsd", "bsd,gpl,mit", "all-rights-reserved", ""]
+    for i, t in enumerate(texts):
+        found = sorted(tuple(m) for m in rows[i].passages)
+        assert found == plain_passages(t)
+        assert set(rows[i].all_labels.split(",")) - {""} == set(rows[i].labels.split(",")) - {""} | {m[0] for m in found}
+
+
 def test_language_id(spark):
     words = {"en": "the house of and water with light", "de": "das haus und der wasser mit licht", "fr": "la maison de eau avec lumière et"}
     rows = [(i, " ".join((words[lang] + " ").split(" ")[(i + j) % 7] for j in range(30)), lang, "lang") for i in range(150) for lang in [list(words)[i % 3]]]
