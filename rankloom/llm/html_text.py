@@ -7,7 +7,8 @@ path from it up to the body is the threshold: every subtree that reaches it give
 node, and the smallest subtree that holds all of those is the main text.
 
 What is never main text by its element, role or class (scripts, styles, menus, page headers and
-footers, sidebars, notices, adverts, forms, reader comments) takes no part. Blocks keep page order;
+footers, sidebars, notices, adverts, forms, reader comments) takes no part. A class or id is only a
+hint: :func:`release` takes back what it dropped where that holds the article or most of the text. Blocks keep page order;
 white space inside a block, line breaks included, becomes one space; character references are
 decoded as HTML5 says. Nothing else is dropped and no text is cut.
 
@@ -53,20 +54,25 @@ NAMES = frozenset(
 )
 TEASERS = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies teaser".split())
 KEEP_INSIDE = frozenset(("article", "main"))
+_OWN = ("role", "hidden", "aria-hidden", "class", "id")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
+_TELLS = re.compile("class|id|role|hidden", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup a".split())
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named", "words")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.drop = tag, parent, [], False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.named = ""  # dropped by a class or id only: "part" of the page's frame, or "teaser"
+        self.words: frozenset[str] = frozenset()  # of its class and id
 
 
 def _dropped(tag: str, attributes: str, node: Node) -> bool:
@@ -77,10 +83,13 @@ def _dropped(tag: str, attributes: str, node: Node) -> bool:
         inside, up = up.tag in KEEP_INSIDE, up.parent
     if tag == "header" and not inside:
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    if not attributes or tag in ("html", "body", "main") or not _TELLS.search(attributes):
         return False
+    found: dict[str, str] = {}
     for name, value in _ATTR.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        found.setdefault(name.lower(), value.strip("\"'"))  # the first of a name counts
+    for name in [n for n in _OWN if n in found]:  # what isn't only a hint first
+        value = found[name]
         if name == "role":
             if value.lower() in ROLES:
                 return True
@@ -88,13 +97,13 @@ def _dropped(tag: str, attributes: str, node: Node) -> bool:
             if name == "hidden" or value.lower() == "true":
                 return True
         else:
-            words = _NAME.findall(_CAMEL.sub(" ", value).lower())
-            if tag == "article":  # a reader's comment or a teaser may be one
-                if TEASERS & set(words):
-                    return True
-            elif NAMES & set(words) or (not inside and "header" in words):
-                return True
-    return False
+            words = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+            node.words |= {w for w in words if w.isalpha()}
+            if TEASERS & words and (tag == "article" or NAMES & words):  # a reader's comment or a teaser may be an article
+                node.named = "teaser"
+            elif tag != "article" and (NAMES & words or (not inside and "header" in words)):
+                node.named = node.named or "part"
+    return bool(node.named)
 
 
 def parse(page: str) -> Node:
@@ -186,6 +195,8 @@ def measure(body: Node) -> list[Node]:
     """Fill in characters, tags, densities and density sums; the nodes, parents first."""
     nodes = _walk(body)
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.sum = 0.0
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += len(_SPACE.sub("", k))
@@ -202,8 +213,120 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
+def _strength(top: Node) -> tuple[float, int]:
+    """The largest density sum or density in a subtree, and its characters outside links."""
+    best = max((max(n.sum, n.density) for n in measure(top)), default=0.0)
+    return best, top.chars - top.link_chars
+
+
+def _prose(top: Node) -> bool:
+    """Whether a subtree has text outside headings and links."""
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        for k in node.kids:
+            if isinstance(k, str):
+                if not k.isspace():
+                    return True
+            elif not k.drop and k.tag not in _HEADINGS:
+                todo.append(k)
+    return False
+
+
+def _outermost(body: Node) -> list[Node]:
+    """Nodes that a class or id drops, none inside another dropped one."""
+    out, todo = [], [body]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, str):
+                continue
+            if not k.drop:
+                todo.append(k)
+            elif k.named:
+                out.append(k)
+    return out
+
+
+def _holds(top: Node, tag: str) -> bool:
+    """Whether an element lies in a subtree, not below what its own element or role drops."""
+    todo = [top]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, str) or (k.drop and not k.named):
+                continue
+            if k.tag == tag and not k.drop:
+                return True
+            todo.append(k)
+    return False
+
+
+def _opened(top: Node) -> tuple[float, int]:
+    """The strength of a subtree with all that only names drop inside it; for a part without its teasers."""
+    names = ("part",) if top.named == "part" else ("part", "teaser")
+    held, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        if node.named in names and node.drop:
+            node.drop = False
+            held.append(node)
+        if not node.drop:
+            todo += [k for k in node.kids if isinstance(k, Node)]
+    found = _strength(top)
+    for node in held:
+        node.drop = True
+    return found
+
+
+def release(body: Node) -> None:
+    """Take back subtrees that a class or id dropped although they hold the main text, the strongest first.
+
+    One that holds a main element, or an article where no other article or main has text, is the
+    text's wrapper. Where an article or main has text, nothing outside of it comes back by density
+    alone. Else a part of the frame is main text if it is denser than all the rest of its article, main
+    or body and holds more characters; readers' comments, adverts and teasers, which often are longer
+    than the article, only if the rest has nothing but headings and links. What has the same parent,
+    element and names comes back together.
+    """
+    while True:
+        named = _outermost(body)
+        if not named:
+            return
+        wraps = [n for n in named if _holds(n, "main")]
+        for n in wraps:
+            n.drop = False
+        if wraps:
+            continue
+        live = any(n.tag in KEEP_INSIDE and _prose(n) for n in _walk(body))
+        best, chosen, rests = (), None, {}
+        for n in named:
+            article = _holds(n, "article")
+            scope = n.parent
+            while scope is not body and scope.tag not in KEEP_INSIDE:
+                scope = scope.parent
+            if live and scope is body and not article:
+                continue
+            value, plain = _opened(n)
+            if not plain:
+                continue
+            if not (article and not live):
+                if id(scope) not in rests:
+                    rests[id(scope)] = (*_strength(scope), _prose(scope))
+                rest, other, prose = rests[id(scope)]
+                if n.named == "teaser" and prose or n.named == "part" and not (value > rest and plain > other):
+                    continue
+            rank = (n.named == "part", value)
+            if chosen is None or rank > best:
+                best, chosen = rank, n
+        if chosen is None:
+            return
+        for n in named:  # with its peers: comments of a page of comments
+            if n is chosen or (n.parent is chosen.parent and n.tag == chosen.tag and n.words == chosen.words):
+                n.drop = False
+
+
 def main_node(body: Node) -> Node | None:
     """The smallest subtree with all densest nodes over the path threshold; None where there is no text."""
+    release(body)
     nodes = [n for n in measure(body) if n.chars]
     if not nodes:
         return None

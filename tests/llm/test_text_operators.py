@@ -177,6 +177,27 @@ def test_html_text(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *((f"<article><p>{T}</p><div {a}><p>{T}</p></div></article>", T.strip() + "\n" + T.strip()) for a in ('style="overflow:hidden"', 'title="hidden gems"', 'data-id="comment"', "data-hidden", "aria-hidden=false", "data-x=' class=comment '")),
+        (f'<article><p>{T}</p><p><a href="/hidden-lake">lake</a> a <a href=/hidden>b</a></p></article>', T.strip() + "\nlake a b"),
+        *((f"<article><p>{T}</p><div {a}><p>{T}</p></div></article>", T.strip()) for a in ("hidden", "HIDDEN=''", 'aria-hidden = "true"', "role=note", "x='>' id=\"comments\"", "data-x='a'class='comment'")),
+        (f'<nav>menu</nav><div class="content with-sidebar"><article><h1>Head</h1><p>{T}</p></article><div class="sidebar"><p>{T}{T}</p></div></div>', "Head\n" + T.strip()),
+        (f'<div class="widget-area"><div class="page no-banner"><main><p>{T}</p></main></div></div>', T.strip()),
+        (f'<h1>Head</h1><div class="content with-sidebar"><p>{T}</p></div>', "Head\n" + T.strip()),
+        (f'<div class="content with-sidebar"><p>{T}</p><p>{T}</p><div class=sidebar><p>Short words</p></div></div>', T.strip() + "\n" + T.strip()),
+        (f'<article><h1>Head</h1><div class="body with-sidebar"><p>{T}</p></div></article>', "Head\n" + T.strip()),
+        (f'<article class="post has-comments"><p>{T}</p></article>', T.strip()),
+        (f"<div id=content><p>{T}</p></div><div class=comments><p>{T}{T}</p><p>{T}</p></div>", T.strip()),
+        ("<h1>Thread</h1>" + "".join(f"<div class=comment id=c{k}><p>{T}{k}</p></div>" for k in range(3)), "Thread\n" + "\n".join(f"{T}{k}" for k in range(3))),
+        (f"<main><p>{T}</p></main><div class=related><article><p>{T}{T}</p></article></div>", T.strip()),
+    ],
+)
+def test_html_names_are_hints(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_html_text_survives(spark):
     for x in ["<", "<a", "<a href='", "<p" * 1000, "</p>" * 50, "<div>" * 3000 + "x", "<table><tr><td>1<td>2<tr><td>3</table>", "&#xffffffff;", "\x00<p>"]:
         html_text.extract(x)
