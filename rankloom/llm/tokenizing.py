@@ -4,7 +4,8 @@ Both vocabularies split a text into words before they merge. A word's ids don't
 neighbours, so each distinct word is merged once, together with all new words of its block
 (:mod:`.bpe`), and kept in a bounded cache; a text's ids are its words' ids joined. The split is done
 here for texts of plain Latin letters, digits, ASCII and a few signs, where it can't depend on a
-Unicode version or on normal forms; every other text goes through the library whole.
+Unicode version or on normal forms; every other text, and every text that holds an added token such as
+``<|endoftext|>``, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
+        #: Texts of the tokens that the library takes out before it splits.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = words
         with open(file, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -80,6 +82,9 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _merge(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
         flat, lengths = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
@@ -101,7 +106,7 @@ class Encoder:
     def _split(self, text: str | None) -> list[str] | None:
         if not text:
             return []
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self._holds_added(text):
             return None
         return _WORD_PARTS.findall(text.lower()) if self.words else _BYTE_PARTS.findall(text)
 
@@ -109,7 +114,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each whole text; a null text is empty."""
         if self.ranked is not None:
             ids = self.ranked.encode_ordinary
-            return [(array("I", ids(t)).tobytes() if t.isascii() or _PLAIN.fullmatch(t) else self.whole(t)) if t else b"" for t in texts]
+            return [(array("I", ids(t)).tobytes() if (t.isascii() or _PLAIN.fullmatch(t)) and not self._holds_added(t) else self.whole(t)) if t else b"" for t in texts]
         out, at = [], 0
         while at < len(texts):  # about 2 MB at a time: what a step needs stays in the cache until it is used
             end, size = at, 0

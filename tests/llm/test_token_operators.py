@@ -61,6 +61,31 @@ def test_encoder_equals_the_library(file, words, monkeypatch):
     assert e.encode(RANDOM) == [e.whole(t or "") for t in RANDOM]
 
 
+@pytest.mark.parametrize(("file", "words", "ids"), [("word_bpe_49k.json", True, [637, 49407, 1237]), ("byte_bpe_50k.json", False, [505, 220, 50256, 734])])
+def test_encoder_takes_added_tokens_as_the_untouched_library(file, words, ids):
+    from tokenizers import Tokenizer
+
+    lib, e = Tokenizer.from_file(P.path(file)), Encoder(P.path(file), words=words)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "<|startoftext|>a<|endoftext|><|endoftext|> b\n", "ONE<|ENDOFTEXT|>x", "日<|endoftext|>é", "<|endoftext", "plain words", *RANDOM]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    e.ranked = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+
+
+def test_token_files_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    texts = ["one <|endoftext|> two", "three", "<|endoftext|>" * 3]
+    want = [Tokenizer.from_file(file).encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(tokenbin.read(tokenbin.write(d, file, shared.work_folder(spark, "test")), ids=True).collect(), key=lambda r: r.start)
+    assert [list(r.ids) for r in rows] == want
+    assert [r.start for r in rows] == [0, len(want[0]), len(want[0]) + len(want[1])]
+
+
 def test_range_coder():
     rng = np.random.default_rng(3)
     for a in (np.zeros(0, np.uint32), np.array([5]), np.arange(63), np.arange(9000) % 7, rng.integers(0, 50257, 20001), np.full(100_000, 50256), rng.zipf(1.3, 50_000) % 50257):
