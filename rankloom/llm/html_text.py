@@ -10,7 +10,8 @@ What is never main text by its element, role or class (scripts, styles, menus, p
 footers, sidebars, notices, adverts, forms, reader comments) takes no part. A class or id is only a
 hint: :func:`release` takes back what it dropped where that holds the article or most of the text. Blocks keep page order;
 white space inside a block, line breaks included, becomes one space; character references are
-decoded as HTML5 says. Nothing else is dropped and no text is cut.
+decoded as HTML5 says. Outside of article and main, lists, tables, divs and sections of which links
+hold over 90 % are menus. Nothing else is dropped and no text is cut.
 
 Defined results: a null or empty page has the empty text; pages without a body element are read as if
 they had one; repeated rows are read one by one; extra columns are not read.
@@ -372,6 +373,13 @@ def main_node(body: Node) -> Node | None:
     return found
 
 
+def _within(node: Node | None) -> bool:
+    """Whether a node is or lies in an article or main."""
+    while node is not None and node.tag not in KEEP_INSIDE:
+        node = node.parent
+    return node is not None
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks in page order, joined by a line end."""
     if not page:
@@ -402,8 +410,8 @@ def extract(page: str | None) -> str:
             if block:
                 flush()
             continue
-        if node.tag in BLOCK and node is not top and node.link_chars * 10 > node.chars * 9 and node.tags > 1 and node.tag in ("ul", "ol", "div", "table", "section"):
-            flush()  # a block of nothing but links is a menu
+        if node.tag in BLOCK and node is not top and node.link_chars * 10 > node.chars * 9 and node.tags > 1 and node.tag in ("ul", "ol", "div", "table", "section") and not _within(node):
+            flush()  # a block of nothing but links is a menu, outside of an article
             continue
         if block:
             flush()

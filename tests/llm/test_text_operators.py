@@ -198,6 +198,13 @@ def test_html_names_are_hints(page, text):
     assert html_text.extract(page) == text
 
 
+def test_html_links_of_an_article_stay():
+    sources = "<h2>Sources</h2><ul><li><a href=a>First</a></li><li><a href=b>Second</a></li></ul><div><p><a href=c>Third</a></p></div>"
+    for tag in ("article", "main"):
+        assert html_text.extract(f"<{tag}><p>{T}</p>{sources}<ul class=nav><li><a href=d>menu</a></ul></{tag}>") == T.strip() + "\nSources\nFirst\nSecond\nThird"
+    assert html_text.extract(f"<div><p>{T}</p><p>{T}</p><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>") == T.strip() + "\n" + T.strip()
+
+
 def test_html_text_survives(spark):
     for x in ["<", "<a", "<a href='", "<p" * 1000, "</p>" * 50, "<div>" * 3000 + "x", "<table><tr><td>1<td>2<tr><td>3</table>", "&#xffffffff;", "\x00<p>"]:
         html_text.extract(x)
