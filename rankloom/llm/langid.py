@@ -6,9 +6,9 @@ language is the sum over all its words; the prediction is the largest, its score
 that language under equal priors.
 
 The model is fitted on a bounded sample of the labelled rows: about ``SAMPLE`` documents for each
-language, chosen by a hash of the id, so that it takes as long for any input. Its tables hold the
-``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each length; that bounds what
-the driver collects and every worker gets. Prediction reads whole texts only, never language, source
+language, chosen by a hash of the id, so that it takes as long for any input. That is its only bound:
+every language, every word of the sampled documents and every n-gram of those words is in its
+tables, whose size follows from the sample. Prediction reads whole texts only, never language, source
 or id.
 
 Defined results: ``und`` and 0.0 for a null text, a text without a letter, or a model without a
@@ -19,7 +19,7 @@ without an id are never learned from and never held out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,10 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Documents a language that the model is fitted on, about.
 SAMPLE = 600
-LANGUAGES = 256
-WORDS = 60_000
-GRAMS = 20_000
 ORDERS = (4, 3, 2, 1)
 #: Pseudo-counts of a word, and of an n-gram, in a language that hasn't shown it.
 SMOOTH = 0.2
@@ -48,32 +46,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
 class Model:
     """Log frequencies by language: one row of ``matrix`` for each known word and n-gram, the last row for nothing known."""
 
-    def __init__(self, languages: list[str], counts: dict[str, dict[str, int]]):
-        """counts: language -> word -> count."""
+    def __init__(self, languages: list[str], counts: Iterable[tuple[str, str, int]]):
+        """counts: (language, word, count)."""
         self.languages = sorted(languages)
-        k = len(self.languages)
-        vectors: dict[str, np.ndarray] = {}
-        for i, lang in enumerate(self.languages):
-            for w, c in counts.get(lang, {}).items():
-                vectors.setdefault(w, np.zeros(k))[i] += c
-        parts, at = [], 0
-
-        def table(items: list[tuple[str, np.ndarray]]) -> dict[str, int]:
-            nonlocal at
-            seen = np.array([v for _, v in items]).reshape(len(items), k)
-            parts.append(np.log((seen + SMOOTH) / (seen.sum(axis=0) + SMOOTH * max(1, len(items)))))
-            at += len(items)
-            return {g: at - len(items) + j for j, (g, _) in enumerate(items)}
-
-        self.words = table(list(vectors.items()))
+        place = {x: i for i, x in enumerate(self.languages)}
+        self.words: dict[str, int] = {}
+        row, column, value = [], [], []
+        for lang, word, n in counts:
+            row.append(self.words.setdefault(word, len(self.words)))
+            column.append(place[lang])
+            value.append(n)
+        parts = [_table(len(self.words), len(place), row, column, value)]
+        names, at = list(self.words), len(self.words)
         self.grams: dict[int, dict[str, int]] = {}
         for n in ORDERS:
-            found: dict[str, np.ndarray] = {}
-            for w, v in vectors.items():
+            found: dict[str, int] = {}
+            who, grams = [], []
+            for r, w in enumerate(names):
                 for g in _grams(w, n):
-                    found[g] = found[g] + v if g in found else v
-            self.grams[n] = table(sorted(found.items(), key=lambda x: (-x[1].sum(), x[0]))[:GRAMS])
-        self.matrix = np.concatenate([*parts, np.zeros((1, k))]).astype(np.float32)
+                    who.append(r)
+                    grams.append(found.setdefault(g, len(found)))
+            # A gram's count in a language: that of each word it stands in, once for each place.
+            parts.append(np.zeros((len(found), len(place))))
+            np.add.at(parts[-1], np.array(grams, np.int64), parts[0][np.array(who, np.int64)])
+            self.grams[n] = {g: at + j for g, j in found.items()}
+            at += len(found)
+        logs = [np.log((p + SMOOTH) / (p.sum(axis=0) + SMOOTH * max(1, len(p)))) for p in parts]
+        self.matrix = np.concatenate([*logs, np.zeros((1, len(place)))]).astype(np.float32)
 
     def rows(self, word: str) -> list[int]:
         """The rows whose mean is the word's score: its own, or those of its longest known n-grams."""
@@ -88,6 +87,12 @@ class Model:
         return [len(self.matrix) - 1]
 
 
+def _table(n: int, k: int, row: list[int], column: list[int], value: list[int]) -> np.ndarray:
+    out = np.zeros((n, k))
+    np.add.at(out, (np.array(row, np.int64), np.array(column, np.int64)), np.array(value, np.float64))
+    return out
+
+
 def _grams(word: str, n: int) -> list[str]:
     w = word if n == 1 else f" {word} "
     return [w[i : i + n] for i in range(len(w) - n + 1)]
@@ -145,26 +150,21 @@ class Predictor:
 def fit(docs: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> Model:
     """Fit on a sample of the labelled rows that aren't held out."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # One row for each language comes to the driver; of more than LANGUAGES languages the largest are learned.
-    n = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    n = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row a language
     if not n:
-        return Model([], {})
-    share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, sample / c)))])
+        return Model([], [])
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, sample / c)) for k, c in n.items()], "_lang string, _share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.filter(F.col(lang).isin(list(n)) & (place < share[F.col(lang)]))
-    words = chosen.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    top = counts.orderBy(F.desc("count"), "word", "lang").limit(WORDS).collect()
-    by: dict[str, dict[str, int]] = {}
-    for r in top:
-        by.setdefault(r["lang"], {})[r["word"]] = r["count"]
-    return Model(list(n), by)
+    chosen = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), place.alias("_place")).join(F.broadcast(share), "_lang").filter("_place < _share")
+    words = chosen.select("_lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("_word"))
+    counts = words.groupBy("_lang", "_word").count().toArrow()  # as many rows as the sample has words
+    return Model(list(n), zip(*(c.to_pylist() for c in counts.columns), strict=True))
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score``, which replace columns of those names; others stay as they are."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = names.index(text)
     rows = docs.select(*names)
