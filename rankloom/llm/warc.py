@@ -34,7 +34,7 @@ from .shared import attempt_name, deal_by_shard, deal_files, range_shards, read_
 MIN_REVISIT = 1000
 #: Bytes of html that go to one shard, and so to one task; compressed bytes at which a file is closed.
 SHARD_BYTES = 24 << 20
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 LEVEL = 5
 #: Salts over which the pages of one digest are spread where they meet its largest page_id.
 SALTS = 64

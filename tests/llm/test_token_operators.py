@@ -197,3 +197,78 @@ def test_warc(spark):
     one[-6] ^= 1
     with pytest.raises(ValueError):
         warc.parse(bytes(one))
+
+
+def test_range_shards(spark):
+    """Any 64-bit keys, outliers, hot keys and rows without a key: ranges in order, none much over the target."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    big = 9_223_372_036_854_775_807
+    cases = {
+        "wide": [-big - 1, -9 * 10**18, 5, 9 * 10**18, big],
+        "outlier": [*range(4000), big],
+        "both ends": [-big - 1, *range(4000), big],
+        "two clusters": [*range(2000), *range(10**15, 10**15 + 2000), -big],
+        "hot": [7] * 3000 + list(range(1000)),
+        "nulls": [None] * 2000 + [rng.randint(-big, big) for _ in range(2000)],
+        "empty": [],
+        "one": [42],
+    }
+    for name, keys in cases.items():
+        d = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k bigint, i bigint")
+        shards = shared.range_shards(d, "k", F.lit(1), 100)
+        rows = [(r._shard, r.k) for r in shards.assign(d, F.xxhash64("i")).collect()]
+        assert len(rows) == len(keys), name
+        per = defaultdict(list)
+        for s, k in rows:
+            per[s].append(k)
+        assert all(0 <= s < shards.n for s in per), name
+        order = [[k for k in per[s] if k is not None] for s in sorted(per)]
+        order = [x for x in order if x]
+        assert all(max(a) <= min(b) for a, b in zip(order, order[1:])), name
+        assert all(len(v) <= 320 for v in per.values()), (name, max(map(len, per.values())))
+        if len(keys) > 3000:
+            assert len(per) >= len(keys) // 320, name
+        again = shared.range_shards(d.repartition(7), "k", F.lit(1), 100)
+        assert sorted(again.leaves) == sorted(shards.leaves), name
+
+
+def test_archives_and_token_files_with_wide_ids(spark):
+    ids = [-9_000_000_000_000_000_000, 5, 9_000_000_000_000_000_000, None, 2**63 - 1, -(2**63)]
+    d = spark.createDataFrame([(i, "u", "x" * 1200) for i in ids], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(d).collect()}
+    assert got == {i: ("response", None) if i == 2**63 - 1 else ("revisit", 2**63 - 1) for i in ids}
+    d = spark.createDataFrame([(i, "some words") for i in ids], "doc_id bigint, text string")
+    rows = sorted(tokenbin.round_trip(d, P.path("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_archives_roll_by_compressed_size(spark):
+    """At the default shard size, files close when they reach the compressed size, and not before."""
+    rng = random.Random(8)
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abcdefghij <>/", k=9000))) for i in range(1500)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    m = warc.write(d, shared.work_folder(spark, "test"), file_bytes=1 << 20)
+    files = sorted((r.shard, r.file, r.n_bytes) for r in m.collect())
+    assert max(s for s, _, _ in files) == 0
+    assert len(files) > 3
+    assert all(1 << 20 <= n < (1 << 20) + 20_000 for *_, n in files[:-1])
+    assert [f for _, f, _ in files] == list(range(len(files)))
+    assert sorted(r.page_id for r in warc.read(m).collect()) == list(range(1500))
+
+
+def test_scratch_tables_of_two_threads(spark):
+    """Operators in threads of one driver don't see or delete each other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(k):
+        with shared.scratch(spark) as keep:
+            inner = shared.checkpoint(spark.range(k))
+            with shared.scratch(spark) as keep_inner:
+                kept = keep_inner(shared.checkpoint(inner.selectExpr("id + 1 as id")))
+            assert inner.count() == k
+            return keep(shared.checkpoint(kept)).count()
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(work, [3, 5, 7, 9, 11, 13])) == [3, 5, 7, 9, 11, 13]
