@@ -12,10 +12,18 @@ from . import html_text, langid, licenses, minhash, multiindex, packing, pieces,
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _SENT: set[str] = set()
+#: Rows of an Arrow batch: some MB of text, where Spark's default of 10,000 would be tens.
+BATCH = 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither their path nor their folder has it."""
+    """Let Python workers import this package where neither their path nor their folder has it.
+
+    Batches that go to Python hold whole texts, so a session that hasn't chosen their rows gets BATCH.
+    """
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, BATCH)
     known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if _ROOT in known or os.path.abspath(os.getcwd()) == _ROOT or spark.sparkContext.applicationId in _SENT:
         return

@@ -74,6 +74,63 @@ def test_minhash_edges(spark):
     assert minhash.near_duplicates(d.limit(0), shingle=2).count() == 0
 
 
+def near_by_text(rows, k, percent):
+    """Components where rows of one id are one document, linked if any of their texts is."""
+    sets, u = [(i, shingles(t, k)) for i, t in rows if i is not None], Sets(i for i, _ in rows if i is not None)
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            n = len(a & b)
+            if n and 100 * n >= percent * len(a | b):
+                u.join(i, j)
+    return {i: u.top(i) for i, _ in sets}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_minhash_ids_with_several_texts(spark, seed, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(seed)
+    texts = family(rng, 25, 60, 6) + family(rng, 25, 60, 6) + family(rng, 10, 60, 2)
+    a, b = texts[0], texts[25]
+    rows = [(1, a), (7, a), (7, b), (9, b + " word")] + [(rng.randint(10, 40), rng.choice(texts)) for _ in range(90)] + [(3, None), (3, ""), (3, a + " more")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d, shingle=2).collect()}
+    assert got == set(near_by_text(rows, 2, 80).items())
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_long_texts_are_shingled_whole(k, monkeypatch):
+    """Texts beyond BYTES go block by block, words across block ends included, with the same hashes as in one block."""
+    rng = random.Random(k)
+    texts = [" ".join("x" * rng.randint(1, 40) + str(rng.randint(0, 99)) for _ in range(300)).encode(), b"a" * 5000, b"  " * 900 + b"b c", b"one\x0btwo " * 400, b"q " * 129, b"z" * 128 + b" " + b"y" * 127]
+    whole = [minhash.Shingler(k).sets([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(minhash, "BYTES", 128)
+    assert [minhash.Shingler(k).sets([t])[0].tolist() for t in texts] == whole
+    assert [len(x) for x in whole] == [len(shingles(t.decode(), k)) for t in texts]
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    text = (" ".join(f"w{i % 9973}" for i in range(900_000))).encode()
+    work = minhash.Shingler(2)
+    tracemalloc.start()
+    work.sets([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
+
+
+def test_minhash_skips_sets_of_strangers(spark, monkeypatch):
+    """Documents that only share a bucket by chance cost no text; hubs with many partners are dealt in parts."""
+    monkeypatch.setattr(minhash, "LOAD", 200)
+    rng = random.Random(9)
+    texts = family(rng, 70, 100, 8)
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(d, shingle=2).collect()}
+    assert got == plain_near(rows, 2, 80)
+
+
 def test_estimate(spark):
     rng = random.Random(1)
     a = [str(rng.random()) for _ in range(400)]
