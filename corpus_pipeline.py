@@ -5,13 +5,13 @@ packing turns what is left into sequences. A stage gets the table its predecesso
 all columns of ``documents``; only the last one returns the packing's own rows.
 
 Defined results: rows without text have no language and go; rows without doc_id are judged like any
-other, never merged, and packed; of rows that share a doc_id near-dedup keeps one; extra columns of
-``documents`` pass through, whatever their names.
+other, never merged, and packed; of rows that share a doc_id and a text near-dedup keeps one; extra
+columns of ``documents`` pass through, whatever their names; no documents give no sequences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import langid, minhash, packing, quality
@@ -41,15 +41,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """Keep the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows that share an id are one document to the operator; of those with the same text one stays,
+    found by partial aggregation, so that an id that very many rows have is no task's burden.
+    """
     ship(spark)
     gone = minhash.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
     if not twice.limit(1).count():
         return kept
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("_k", F.row_number().over(once)).filter("_k = 1").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    texts = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("_h2")]
+    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", *texts).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
