@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +34,15 @@ def is_integer(c: Column) -> Column:
     return F.coalesce(c.rlike(INTEGER), F.lit(False))
 
 
-def clean_text(c: Column, stopwords: Column | None = None) -> Column:
+def clean_text(c: Column, stopwords: Iterable[str] = ()) -> Column:
     """Lower case, markup and URLs out, words of two or more letters that aren't stop-words; null gives the empty string."""
     out = F.lower(F.coalesce(c, F.lit("")))
     for pattern, replacement in CLEANING:
         out = F.regexp_replace(out, pattern, replacement)
     words = F.filter(F.split(F.trim(out), " "), lambda w: F.length(w) >= 2)
-    if stopwords is not None:
-        words = F.filter(words, lambda w: ~F.array_contains(stopwords, w))
+    known = sorted(set(stopwords))
+    if known:
+        words = F.filter(words, lambda w: ~w.isin(known))  # planned as a look into a hash set
     return F.array_join(words, " ")
 
 

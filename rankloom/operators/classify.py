@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import page_text, tokens_alpha
+from ..storage import written
 
 UNKNOWN = "UNKNOWN"
 ALGORITHMS = ("mnb", "cnb")
+#: Their names in reports.
+TITLES = {"mnb": "Multinomial Naive Bayes", "cnb": "Complement Naive Bayes"}
 
 
 def train_pages(pages: DataFrame, train_ids: DataFrame) -> DataFrame:
@@ -38,22 +41,34 @@ class NaiveBayes:
 
 
 def train_nb(train: DataFrame) -> NaiveBayes:
-    """Count documents, words and vocabulary of rows (label, title, clean_text)."""
-    tokens = train.select("label", tokens_alpha(page_text()).alias("tokens"))
+    """Count documents, words and vocabulary of rows (label, title, clean_text), tokenized once into a table."""
+    tokens = written(train.select("label", tokens_alpha(page_text()).alias("tokens")), "train")[0]
     words = tokens.select("label", F.explode("tokens").alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("cnt"))
     terms = words.groupBy("term").agg(F.sum("cnt").alias("tot"))
     by_class = tokens.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("tokens")).cast("bigint").alias("total"))
-    whole = Window.partitionBy()  # one row a class
-    classes = by_class.withColumn("log_prior", F.log(F.col("n_docs") / F.sum("n_docs").over(whole)))
+    every = by_class.agg(F.sum("n_docs").alias("_all"))  # one row
+    classes = by_class.join(F.broadcast(every)).withColumn("log_prior", F.log(F.col("n_docs") / F.col("_all"))).drop("_all")
     size = terms.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("tot"), F.lit(0)).alias("total_all"))
     return NaiveBayes(classes, words, terms, size)
 
 
+def tokenized(pages: DataFrame) -> DataFrame:
+    """doc_id, _h (hash of the page's text) and tokens of every row, written once: lengths, counts and predictions all read this table."""
+    return written(pages.select("doc_id", F.xxhash64(page_text()).alias("_h"), tokens_alpha(page_text()).alias("tokens")), "tokens")[0]
+
+
 def nb_scores(model: NaiveBayes, pages: DataFrame, algorithm: str = "mnb") -> DataFrame:
-    """doc_id, _h (hash of the page's text), label, score for each page and class; rows equal in both are one."""
+    """doc_id, _h, label, score for each page and class; rows equal in id and text are one."""
+    _known(algorithm)
+    return _scores(model, tokenized(pages), algorithm)
+
+
+def _known(algorithm: str) -> None:
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm {algorithm!r} is none of {ALGORITHMS}")
-    docs = pages.select("doc_id", F.xxhash64(page_text()).alias("_h"), tokens_alpha(page_text()).alias("tokens"))
+
+
+def _scores(model: NaiveBayes, docs: DataFrame, algorithm: str) -> DataFrame:
     # Equal rows count their words _n times; dividing the sums by _n spares an exchange of the texts.
     heads = docs.groupBy("doc_id", "_h").agg(F.max(F.size("tokens")).alias("_len"), F.count(F.lit(1)).alias("_n"))
     tf = docs.select("doc_id", "_h", F.explode("tokens").alias("term")).groupBy("doc_id", "_h", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -73,9 +88,11 @@ def nb_scores(model: NaiveBayes, pages: DataFrame, algorithm: str = "mnb") -> Da
 
 def predict_nb(model: NaiveBayes, pages: DataFrame, algorithm: str = "mnb") -> DataFrame:
     """doc_id, pred_category, a row for each row of ``pages``; ties go to the label that sorts first. No classes, no rows."""
+    _known(algorithm)
+    docs = tokenized(pages)
     best = Window.partitionBy("doc_id", "_h").orderBy(F.round("score", 6).desc(), "label")
-    chosen = nb_scores(model, pages, algorithm).withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("doc_id", "_h", F.col("label").alias("pred_category"))
-    return pages.select("doc_id", F.xxhash64(page_text()).alias("_h")).join(chosen, ["doc_id", "_h"]).select("doc_id", "pred_category")
+    chosen = _scores(model, docs, algorithm).withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("doc_id", "_h", F.col("label").alias("pred_category"))
+    return docs.select("doc_id", "_h").join(chosen, ["doc_id", "_h"]).select("doc_id", "pred_category")
 
 
 def nb_report(predictions: DataFrame) -> DataFrame:
@@ -83,24 +100,22 @@ def nb_report(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("pred_category").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The report's lines, in order; the counts stand where {counts} is, five spaces before each.
+REPORT = ("{bar}", "   {title} 文本分类报告", "{bar}", "", "1. 训练文档数: {trained}", "2. 测试文档数: {tested}", "3. 词表大小:   {v}", "4. 类别列表:   {labels}", "", "5. 各预测类别数量:", "{counts}", "", "{bar}")
+
+
 def report_text(model: NaiveBayes, predictions: DataFrame, title: str) -> DataFrame:
-    """The report's lines in one ``value``: banner, title, counts, classes, predictions by count. All inputs have a row a class at most."""
-    bar = "=" * 50
+    """The report in one ``value``; classes by name, counts from the largest. All inputs have a row a class at most."""
     counts = nb_report(predictions).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "pred_category", "n"))).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("tested"))
     train = model.classes.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("trained"), F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels"))
-    row = train.join(model.size).join(counts)
-    lines = F.concat_ws(
-        "\n",
-        F.lit(bar),
-        F.lit(title),
-        F.lit(bar),
-        F.concat(F.lit("Training documents: "), F.col("trained")),
-        F.concat(F.lit("Test documents: "), F.col("tested")),
-        F.concat(F.lit("Vocabulary size: "), F.col("v")),
-        F.concat(F.lit("Categories: "), F.col("labels")),
-        F.lit(bar),
-        F.lit("Predictions by category:"),
-        F.array_join(F.transform("c", lambda x: F.concat(F.lit("  "), x["pred_category"], F.lit(": "), x["n"])), "\n"),
-        F.lit(bar),
-    )
-    return row.select(lines.alias("value"))
+    values = {
+        "bar": F.lit("=" * 50),
+        "title": F.lit(title),
+        "counts": F.array_join(F.transform("c", lambda x: F.concat(F.lit("     "), x["pred_category"], F.lit(": "), x["n"])), "\n"),
+    }
+    parts: list = []
+    for line in REPORT:
+        before, _, rest = line.partition("{")
+        name, _, after = rest.partition("}")
+        parts.append(F.concat(F.lit(before), values.get(name, F.col(name) if name else F.lit("")).cast("string"), F.lit(after)))
+    return train.join(model.size).join(counts).select(F.concat_ws("\n", *parts).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def dangling_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("doc_id").distinct().join(edges.select(F.col("src_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85, report: Callable[[int, float, float], None] | None = None) -> DataFrame:
     """doc_id, pagerank after a fixed number of rounds.
 
     Every node starts with 1/N. A round gives each node (1 - d)/N + d * (what its neighbours pass on +
@@ -33,6 +35,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping:
     Edges with their out-degree and nodes with a dangling flag are written once; the ranks after each
     round are written to the shared folder, which cuts the lineage and outlives a lost executor. A
     round is one job with partial sums before its exchanges; the dangling mass is a scalar in it.
+    ``report``, where given, is told after each round its number, the dangling mass and the sum of ranks.
     """
     spark = nodes.sparkSession
     distinct = edges.select("src_id", "dst_id").distinct()
@@ -42,11 +45,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping:
     base, base_path = written(flagged, "nodes")
     n = base.count()
     ranks, old = base.select("doc_id", "dangling", F.lit(1.0 / n if n else 0.0).alias("pagerank")), None
-    for _ in range(max(0, iterations)):
+    for round_ in range(1, max(0, iterations) + 1):
         passed = links.join(ranks.select(F.col("doc_id").alias("src_id"), "pagerank"), "src_id").groupBy(F.col("dst_id").alias("doc_id")).agg(F.sum(F.col("pagerank") / F.col("out_degree")).alias("_in"))
         mass = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("_mass"))
         new = F.lit((1 - damping) / n if n else 0.0) + F.lit(damping) * (F.coalesce("_in", F.lit(0.0)) + F.col("_mass") / F.lit(float(n or 1)))
         ranks, path = written(base.join(passed, "doc_id", "left").join(F.broadcast(mass)).select("doc_id", "dangling", new.alias("pagerank")), "ranks")
+        if report:
+            report(round_, mass.first()[0], ranks.agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0])
         if old:
             delete(spark, old)
         old = path

@@ -11,10 +11,14 @@ BOOST = 0.2
 
 
 def match_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, target_category, category, tfidf_score: a repeated query term adds its score again."""
+    """query_id, doc_id, target_category, category, tfidf_score: a repeated query term adds its score again.
+
+    A document that stands twice is one hit: its postings add up, and of its categories the largest counts.
+    """
     terms = queries.select("query_id", "target_category", F.explode(tokens_alnum(F.col("query_text"))).alias("term"))
-    hits = postings.join(terms, "term")
-    return hits.groupBy("query_id", "doc_id", "target_category", "category").agg(F.sum("tfidf").alias("tfidf_score"))
+    # The semi-join goes below the sums of a lazy index: only asked terms are then counted.
+    hits = postings.join(terms.select("term").distinct(), "term", "left_semi").join(terms, "term")
+    return hits.groupBy("query_id", "doc_id", "target_category").agg(F.max("category").alias("category"), F.sum("tfidf").alias("tfidf_score"))
 
 
 def search(postings: DataFrame, queries: DataFrame, k: int = 10, boost: float = BOOST) -> DataFrame:
