@@ -4,13 +4,14 @@ A block is coded on its own: the model starts empty, the ids' checksum stands in
 in lanes, consecutive runs of the block, each with a range coder of its own; a step codes the next
 id of every lane, so all arithmetic is on arrays, and all lanes share and teach one model:
 
-* order 2 and order 1 predict one id each, from a table by the last two ids and by the last one,
-  with a confidence that grows with hits and falls with misses;
-* order 0 gives every id a probability from the counts of the ids that neither predicted;
-* the mixer turns both confidences (and whether the predictions agree) into shares of the
-  probability for either prediction and for order 0, from how often each was right before.
+* order 2 keeps, for each hash of the last two ids, the two ids that followed most, with counts;
+* order 1 keeps the four ids that followed the last id most, with counts, most frequent first;
+* order 0 gives every id a probability from the counts of the ids that neither order names;
+* the mixer turns the state of both orders (their counts, and where order 2's first id stands in order
+  1) into the shares of the probability that each named id and order 0 get, from how often each was
+  right in that state before.
 
-An id is coded as the prediction that was right, or as an escape and its order-0 interval. The
+An id is coded as the named id that was right, or as an escape and its order-0 interval. The
 coder keeps a 64-bit low end and a range of at least 2^32, and writes 32-bit words with carries.
 """
 
@@ -22,14 +23,26 @@ import zlib
 import numpy as np
 
 LANES = 8192
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 4 << 20
 #: Shares are 16-bit, order-0 intervals 20-bit numbers.
 SHARE, ZERO = 16, 20
-_HASH_BITS = 18
+_HASH_BITS = 19
 _TOP = 1 << 32
 _HEAD = struct.Struct("<4sIIIII")
-_MAGIC = b"TKB1"
+_MAGIC = b"TKB2"
 U64 = np.uint64
+#: Slots of a row; a slot is an id above its count, which COUNT bounds. Outcomes: a hit in each slot, or none.
+TWO, ONE, COUNT, _BITS = 2, 4, 15, 4
+HITS = TWO + ONE
+#: State of an order from the counts of its first two slots: of order 2 (8 x 3 states), of order 1 (6 x 3).
+_PAIR = np.arange(256)
+_FIRST = np.array([0, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6, 6, 6, 6, 6, 7])[_PAIR >> 4]
+_SECOND = np.minimum((_PAIR & 15) + 1, 4) // 2
+_LEAD = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 5])[_PAIR >> 4]
+_SPREAD = ((_PAIR & 15) > 0) + (2 * (_PAIR & 15) > (_PAIR >> 4))
+KINDS = 24 * 18 * 4
+_STATE2, _STATE1 = (((_FIRST * 3 + _SECOND) * 18) * (HITS + 1)).astype(np.intp), ((_LEAD * 3 + _SPREAD) * (HITS + 1)).astype(np.intp)
+_PLACE = np.intp(24 * 18 * (HITS + 1))
 
 
 class Model:
@@ -37,26 +50,36 @@ class Model:
 
     def __init__(self, n_ids: int, decodes: bool = False):
         self.n, self.decodes = n_ids, decodes
-        self.two = np.full(1 << _HASH_BITS, n_ids << 3, np.int32)  # predicted id and confidence 0..7
-        self.one = np.full(n_ids + 1, n_ids << 3, np.int32)
-        self.tries = np.full(128, 2.0)
-        self.right2, self.right1 = np.full(128, 0.6), np.full(128, 0.4)
+        empty = n_ids << _BITS  # an id that never comes, never seen
+        self.two = np.full(TWO << _HASH_BITS, empty, np.int32)
+        self.one = np.full(ONE * (n_ids + 1), empty, np.int32)
+        self.seen = self._beliefs()
         self.counts = np.zeros(n_ids, np.int64)
-        self.step, self.next, self.waiting = 0, 0, []
-        self._shares()
-        self._intervals()
-
-    def _shares(self) -> None:
-        a = np.clip(self.right2 / self.tries, 1e-3, 0.96)
-        b = np.clip(self.right1 / self.tries, 1e-3, 0.96)
-        b[64:] = 0  # the predictions agree: one share is enough
-        scale = np.minimum(1, 0.98 / (a + b)) * (1 << SHARE)
-        self.share2, self.share1 = (a * scale).astype(np.uint32), (b * scale).astype(np.uint32)
-
-    def _intervals(self) -> None:
-        if self.waiting:
+        self.step, self.next, self.waiting, self.outcomes = 0, 0, [], []
+        self._refresh()
+
+    @staticmethod
+    def _beliefs() -> np.ndarray:
+        """Outcomes by state before anything was seen: order 2 in line with its counts, then order 1, the rest escapes."""
+        state = np.arange(KINDS) % (24 * 18)
+        first, second, lead = state // 54, state // 18 % 3, state // 3 % 6
+        out = np.full((KINDS, HITS + 1), 0.02)
+        out[:, 0] += 1.2 * first / (first + 2.0)
+        out[:, 1] += 0.15 * second
+        out[:, 2] += 0.1 * lead
+        out[:, 3:HITS] += 0.02 * lead[:, None]
+        out[:, HITS] += 1.0
+        return out
+
+    def _refresh(self) -> None:
+        """Shares of all outcomes in every state, and order 0's intervals, from what was counted."""
+        if self.outcomes:
+            self.seen += np.bincount(np.concatenate(self.outcomes), minlength=self.seen.size).reshape(self.seen.shape)
             self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.n)
-            self.waiting = []
+            self.waiting, self.outcomes = [], []
+        share = (self.seen * (((1 << SHARE) - 8 * (HITS + 1)) / self.seen.sum(axis=1, keepdims=True))).astype(np.int64) + 8
+        share[:, HITS] += (1 << SHARE) - share.sum(axis=1)
+        self.share, self.begin = share.ravel().astype(U64), (np.cumsum(share, axis=1) - share).ravel().astype(U64)
         total = int(self.counts.sum())
         free = (1 << ZERO) - self.n
         size = 1 + (self.counts * free // total if total else np.full(self.n, free // self.n))
@@ -65,35 +88,60 @@ class Model:
         if self.decodes:  # the id that owns each place of the scale
             self.owner = np.repeat(np.arange(self.n, dtype=np.int32), size)
 
-    def predict(self, last2: np.ndarray, last1: np.ndarray):
-        self.at2 = (last2 * np.int32(-1640531535) + last1 * np.int32(-2048144789)) >> np.int32(7) & np.int32((1 << _HASH_BITS) - 1)
-        self.at1 = last1
-        self.e2, self.e1 = self.two[self.at2], self.one[last1]
-        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
-        self.kind = (self.e2 & 7) << 3 | (self.e1 & 7) | (self.p2 == self.p1).astype(np.int32) << 6
-        return self.p2, self.p1, self.share2[self.kind], self.share1[self.kind]
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
-        """hit1: order 1 was right and order 2 wasn't; missed: the ids neither predicted."""
-        same1 = hit1 | (self.p1 == ids)
-        fresh = ids << 3 | 1
-        self.two[self.at2] = np.where(hit2, self.e2 + ((self.e2 & 7) < 7), np.where((self.e2 & 7) > 1, self.e2 - 1, fresh))
-        self.one[self.at1] = np.where(same1, self.e1 + ((self.e1 & 7) < 7), np.where((self.e1 & 7) > 1, self.e1 - 1, fresh))
-        outcome = np.bincount(self.kind << 2 | hit2 | hit1.view(np.int8) << 1, minlength=512).reshape(128, 4)
-        self.tries += outcome.sum(axis=1)
-        self.right2 += outcome[:, 1]
-        self.right1 += outcome[:, 2]
+    def predict(self, last2: np.ndarray, last1: np.ndarray) -> np.ndarray:
+        """Where the shares of the lanes' states begin; ``named`` holds the ids that the orders name, slot by slot."""
+        at2 = (last2 * np.int32(-1640531535) + last1 * np.int32(-2048144789)) >> np.int32(7) & np.int32((1 << _HASH_BITS) - 1)
+        self.at2, self.at1 = at2.astype(np.intp) * TWO, last1.astype(np.intp) * ONE  # places are word-sized: take() converts others
+        e = np.empty((HITS, len(last1)), np.int32)
+        for k in range(TWO):
+            self.two.take(self.at2 + k, out=e[k], mode="clip")
+        for k in range(ONE):
+            self.one.take(self.at1 + k, out=e[TWO + k], mode="clip")
+        self.named = named = e >> _BITS
+        c = e & COUNT
+        top = named[0]
+        place = ((top == named[4]) | (top == named[5])).view(np.int8) * np.int8(3)
+        place += (top == named[2]).view(np.int8)
+        place += (top == named[3]).view(np.int8) * np.int8(2)
+        place &= np.int8(3)
+        return _STATE2.take(c[0] << 4 | c[1]) + _STATE1.take(c[2] << 4 | c[3]) + place * _PLACE
+
+    def outcome(self, ids: np.ndarray) -> np.ndarray:
+        """The slot that names each id first, HITS for none."""
+        right = self.named == ids
+        self.slot1 = np.where(right[2], 0, np.where(right[3], 1, np.where(right[4], 2, 3)))
+        self.one_right = right[2] | right[3] | right[4] | right[5]
+        self.two_right = right[0] | right[1]
+        return np.where(right[0], 0, np.where(right[1], 1, np.where(self.one_right, self.slot1 + TWO, HITS)))
+
+    def _teach(self, table: np.ndarray, row: np.ndarray, slot: np.ndarray, right: np.ndarray, fresh: np.ndarray, ties: int) -> None:
+        """Count a hit in its slot; a miss wears the last slot down, then takes it. A slot moves up where its count allows."""
+        at = row + slot
+        before = at - (slot > 0)
+        old, above = table.take(at, mode="clip"), table.take(before, mode="clip")
+        count = old & COUNT
+        new = np.where(right, old + (count < COUNT), np.where(count > 1, old - 1, fresh))
+        up = (new & COUNT) + ties > (above & COUNT)
+        up &= slot > 0
+        table[before] = np.where(up, new, above)
+        table[at] = np.where(up, above, new)
+
+    def learn(self, ids: np.ndarray, place: np.ndarray, hit: np.ndarray, missed: np.ndarray) -> None:
+        """place: the outcome's place among the shares; missed: the ids that no slot named."""
+        fresh = ids << _BITS | 1
+        self._teach(self.two, self.at2, (hit != 0).astype(np.int32), self.two_right, fresh, 1)
+        self._teach(self.one, self.at1, self.slot1, self.one_right, fresh, 0)
+        self.outcomes.append(place)
         self.waiting.append(missed)
         self.step += 1
-        self._shares()
         if self.step >= self.next:  # after steps 1, 2, 4, 8, then every eighth
             self.next = self.step + min(8, self.step)
-            self._intervals()
+            self._refresh()
 
 
 def _lanes(n: int) -> tuple[int, int, int]:
     """(lanes, steps, lanes that have an id in the last step)."""
-    lanes = max(1, min(LANES, n // 64))
+    lanes = max(1, min(LANES, n // 512))
     steps = -(-n // lanes)
     return lanes, steps, n - lanes * (steps - 1)
 
@@ -141,20 +189,15 @@ def encode_block(ids: np.ndarray, n_ids: int) -> bytes:
     for s in range(steps):
         m = lanes if s < steps - 1 else full
         x = grid[s, :m]
-        p2, p1, s2, s1 = model.predict(two[:m], one[:m])
-        hit2 = x == p2
-        hit1 = (x == p1) & ~hit2
-        rest = np.flatnonzero(~(hit2 | hit1))
-        begin = np.where(hit1, s2, 0).astype(np.uint32)
-        size = np.where(hit2, s2, s1)
-        gone = s2[rest] + s1[rest]
-        begin[rest] = gone
-        size[rest] = (1 << SHARE) - gone
-        put(slice(0, m), begin.astype(U64), size.astype(U64), SHARE)
+        state = model.predict(two[:m], one[:m])
+        hit = model.outcome(x)
+        rest = np.flatnonzero(hit == HITS)
+        place = state + hit
+        put(slice(0, m), model.begin.take(place), model.share.take(place), SHARE)
         missed = x[rest]
         if len(rest):
             put(rest, model.begins[missed], model.sizes[missed], ZERO)
-        model.learn(x, hit2, hit1, missed)
+        model.learn(x, place, hit, missed)
         two, one = one[:m], x
     who = np.arange(lanes)
     out[who, pos] = low >> U64(32)
@@ -197,21 +240,20 @@ def decode_block(data: bytes | memoryview, n_ids: int, at: int = 0) -> tuple[np.
 
     for s in range(steps):
         m = lanes if s < steps - 1 else full
-        p2, p1, s2, s1 = model.predict(two[:m], one[:m])
+        state = model.predict(two[:m], one[:m])
         part = rng[:m] >> U64(SHARE)
         target = val[:m] // part
-        gone = s2 + s1
-        hit2 = target < s2
-        hit = target < gone
-        hit1 = hit & ~hit2
-        rest = np.flatnonzero(~hit)
-        begin = np.where(hit1, s2, 0).astype(np.uint32)
-        size = np.where(hit2, s2, s1)
-        begin[rest] = gone[rest]
-        size[rest] = (1 << SHARE) - gone[rest]
-        v = val[:m] - begin.astype(U64) * part
-        take(slice(0, m), v, part * size.astype(U64))
-        x = np.where(hit2, p2, p1)
+        x, place = np.empty(m, np.int32), state + HITS
+        escapes = target >= model.begin.take(place)
+        rest, some = np.flatnonzero(escapes), np.flatnonzero(~escapes)
+        if len(some):
+            first, want, slot = state[some], target[some], np.zeros(len(some), np.intp)
+            for k in range(1, HITS):
+                slot += want >= model.begin.take(first + k)
+            x[some] = model.named[slot, some]
+            place[some] = first + slot
+        v = val[:m] - model.begin.take(place) * part
+        take(slice(0, m), v, part * model.share.take(place))
         if len(rest):
             part = rng[rest] >> U64(ZERO)
             v = val[rest]
@@ -220,7 +262,7 @@ def decode_block(data: bytes | memoryview, n_ids: int, at: int = 0) -> tuple[np.
             take(rest, v, part * model.sizes[ids])
             x[rest] = ids
         grid[s, :m] = x
-        model.learn(x, hit2, hit1, x[rest])
+        model.learn(x, place, model.outcome(x), x[rest])
         two, one = one[:m], x
     out = grid[:, :full].T.ravel()
     if full < lanes:

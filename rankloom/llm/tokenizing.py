@@ -4,7 +4,8 @@ Both vocabularies split a text into words before they merge. A word's ids don't
 neighbours, so each distinct word is merged once, together with all new words of its block
 (:mod:`.bpe`), and kept in a bounded cache; a text's ids are its words' ids joined. The split is done
 here for texts of plain Latin letters, digits, ASCII and a few signs, where it can't depend on a
-Unicode version or on normal forms; every other text, and every text that holds an added token such as
+Unicode version or on normal forms (there tiktoken merges for a byte-level vocabulary whose ids are its
+ranks); every other text, and every text that holds an added token such as
 ``<|endoftext|>``, goes through the library whole.
 """
 
@@ -38,23 +39,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shows} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _ranked(vocab: dict[str, int], merges: list[list[str]], letters: dict[int, str]):
-    """The same merges as ranks of byte strings, where the ids are those ranks; else None.
+#: The parts that a byte-level vocabulary splits a text into, but for the last one, runs of white space.
+_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"""
+_TWO_SPACES = re.compile(r"\s\s")
 
-    tiktoken then merges plain texts, on which both libraries' patterns split alike, without a cache.
+
+class Ranked:
+    """The merges of a byte-level vocabulary as ranks of byte strings, which tiktoken merges without a cache.
+
+    Both libraries' patterns split plain texts alike. Where no white space stands beside another, the
+    pattern needs no look ahead, and its engine is then more than half as fast again.
     """
-    if any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(merges)) or sorted(vocab[x] for x in letters.values()) != list(range(256)):
-        return None
-    try:
+
+    def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
-    except ImportError:
+
+        made = lambda last: tiktoken.Encoding("ranked", pat_str=_PARTS + last, mergeable_ranks=ranks, special_tokens={})
+        self.any, self.single = made(r"|\s+(?!\S)|\s+").encode_ordinary, made(r"|\s+").encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        return array("I", (self.any if _TWO_SPACES.search(text) else self.single)(text)).tobytes()
+
+
+def _ranked(vocab: dict[str, int], merges: list[list[str]], letters: dict[int, str]) -> Ranked | None:
+    """None where the ids aren't those ranks, which the file alone decides."""
+    if any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(merges)) or sorted(vocab[x] for x in letters.values()) != list(range(256)):
         return None
     back = {x: b for b, x in letters.items()}
     ranks = {bytes(map(back.__getitem__, t)): i for t, i in vocab.items() if i < 256 + len(merges)}
-    if len(ranks) != 256 + len(merges):
-        return None
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Ranked(ranks) if len(ranks) == 256 + len(merges) else None
 
 
 class Encoder:
@@ -113,8 +126,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text; a null text is empty."""
         if self.ranked is not None:
-            ids = self.ranked.encode_ordinary
-            return [(array("I", ids(t)).tobytes() if (t.isascii() or _PLAIN.fullmatch(t)) and not self._holds_added(t) else self.whole(t)) if t else b"" for t in texts]
+            ids = self.ranked.encode
+            return [(ids(t) if (t.isascii() or _PLAIN.fullmatch(t)) and not self._holds_added(t) else self.whole(t)) if t else b"" for t in texts]
         out, at = [], 0
         while at < len(texts):  # about 2 MB at a time: what a step needs stays in the cache until it is used
             end, size = at, 0
