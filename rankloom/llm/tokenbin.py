@@ -57,16 +57,17 @@ def unpack_file(data: bytes) -> Iterator[tuple[int | None, int, bytes]]:
     counts = np.frombuffer(index, "<u4", n_docs, 9 * n_docs)
     if int(counts.sum()) != total:
         raise ValueError("a damaged index")
-    at, held, start = _HEAD.size + size, b"", 0
+    at, start, block, pos = _HEAD.size + size, 0, b"", 0
     for doc, is_null, n in zip(doc_ids.tolist(), null.tolist(), counts.tolist(), strict=True):
-        parts, have = [held], len(held)
-        while have < 4 * n:
-            ids, at = rangecoder.decode_block(data, n_ids, at)
-            parts.append(ids.tobytes())
-            have += len(parts[-1])
-        whole = b"".join(parts) if len(parts) > 1 else held
-        yield (None if is_null else doc), start, whole[: 4 * n]
-        held, start = whole[4 * n :], start + n
+        parts, need = [], 4 * n
+        while need:
+            if pos == len(block):
+                ids, at = rangecoder.decode_block(data, n_ids, at)
+                block, pos = ids.tobytes(), 0
+            parts.append(block[pos : pos + need])  # only the document's own part is copied
+            pos, need = pos + len(parts[-1]), need - len(parts[-1])
+        yield (None if is_null else doc), start, parts[0] if len(parts) == 1 else b"".join(parts)
+        start += n
 
 
 def write(docs: DataFrame, file: str, folder: str, *, text: str = "text", end_id: int = 2, n_ids: int = 50257, shard_bytes: int = SHARD_BYTES) -> DataFrame:
