@@ -11,12 +11,14 @@ makes the target recall 1. A vector visits only cells numbered above its own: no
 Cells are dealt in blocks of bounded size, and pairs of blocks are verified by matrix products in
 double precision. A block pair returns, for each vector that has a link, how many, and the smallest
 id it reaches there: what leaves is linear in the vectors however many links there are. Equal
-vectors are one class with a weight, so copies are counted, not compared.
+vectors are one class with a weight, so copies are counted, not compared. The grid grows with the
+largest label, so that its cells hold about ``CELL`` rows each at any size.
 
 Defined results: rows without label, vector or id, with null or non-finite components or of zero
 length link with nothing; vectors of different dimensions don't link; a row without id has no
-component and is kept; rows that share an id are one vector, linked if any of their values is; extra
-columns are not read; an empty table gives no rows.
+component and is kept; rows that share an id are one node, linked if any of their values is, and its
+n_links adds up the vectors that its distinct values link with; rows equal in id and value count once;
+extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from .components import connected_components
 from .shared import checkpoint, scratch
 
 THRESHOLD = 0.98
-#: Rows the codebooks are fitted on, at most about so many; centroids a half; rows a block.
+#: Rows the codebooks are fitted on, at most about so many; rows a cell, on average; rows a block.
 SAMPLE = 16_384
-CENTROIDS = 64
+CELL = 4096
 BLOCK = 1024
+#: Planes between centroids that a bound looks at: those of the nearest centroids.
+PLANES = 64
 ROUNDS = 10
 
 
@@ -62,8 +66,9 @@ def cell_bounds(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndar
     gap = np.sqrt(_squares(centers, centers))
     np.fill_diagonal(gap, np.inf)
     low = np.zeros_like(d)
-    for k in range(len(centers)):  # the plane between centroid k and every other one
-        np.maximum(low, (d - d[:, k : k + 1]) / (2 * np.maximum(gap[k], 1e-12)), out=low)
+    near = np.argsort(d, axis=1)[:, :PLANES]
+    for k in near.T:  # the planes between a near centroid and every other one; any of them bounds from below
+        np.maximum(low, (d - np.take_along_axis(d, k[:, None], 1)) / (2 * np.maximum(gap[k], 1e-12)), out=low)
     return d.argmin(axis=1), np.maximum(low - 1e-9, 0) ** 2
 
 
@@ -131,15 +136,15 @@ def _kind(df: DataFrame, vector: str) -> str:
 
 
 def _classes(vectors: DataFrame, vector: str, label: str) -> DataFrame:
-    """Rows that can link: vec_id, label, embedding, and two hashes that name equal vectors."""
+    """Rows that can link: vec_id, label, embedding, two hashes that name equal vectors, and ``h``, which tells the values of one id apart."""
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(f"array<{_kind(vectors, vector)}>").alias("embedding"))
     fine = "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double(\'infinity\')) and exists(embedding, x -> x <> 0)"
-    return v.filter(fine).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.reverse("embedding"), F.lit(1))).dropDuplicates(["vec_id", "label", "h1", "h2"])
+    return v.filter(fine).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.reverse("embedding"), F.lit(1))).dropDuplicates(["vec_id", "label", "h1", "h2"]).withColumn("h", F.xxhash64("label", "h1", "h2"))
 
 
 def place(reps: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
     """A row for each rep in its own cell and in each cell that it visits."""
-    shared = reps.sparkSession.sparkContext.broadcast(books)  # bounded by CENTROIDS
+    shared = reps.sparkSession.sparkContext.broadcast(books)  # bounded by SAMPLE
     radius2 = 2 - 2 * threshold + 1e-9
 
     def run(batches: Iterator) -> Iterator:
@@ -149,19 +154,19 @@ def place(reps: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                dims = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+                dims = pa.compute.list_value_length(b.column(3)).to_numpy(zero_copy_only=False)
                 for dim in np.unique(dims).tolist():
                     own = b.filter(pa.array(dims == dim))
-                    x = _unit(own.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, dim))
+                    x = _unit(own.column(3).flatten().to_numpy().astype(np.float64).reshape(-1, dim))
                     row, cell, visitor = shared.value.cells(x, radius2)
                     got = own.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cell, pa.int32()), pa.array(visitor)], ["vec_id", "label", "embedding", "weight", "cell", "visitor"])
+                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array(cell, pa.int32()), pa.array(visitor)], ["vec_id", "h", "label", "embedding", "weight", "cell", "visitor"])
 
-    return reps.select("vec_id", "label", "embedding", "weight").mapInArrow(run, "vec_id bigint, label string, embedding array<%s>, weight bigint, cell int, visitor boolean" % _kind(reps, "embedding"))
+    return reps.select("vec_id", "h", "label", "embedding", "weight").mapInArrow(run, "vec_id bigint, h bigint, label string, embedding array<%s>, weight bigint, cell int, visitor boolean" % _kind(reps, "embedding"))
 
 
 def verify(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """vec_id, n (weights of linked vectors in a block pair) and root (the smallest id it reaches there).
+    """vec_id, h, n (weights of linked vectors in a block pair) and root (the smallest id it reaches there).
 
     A cell's own rows are dealt in blocks, its visitors in chunks four times as large. Every pair of
     blocks meets once, and every block meets every chunk; visitors don't meet each other.
@@ -170,24 +175,24 @@ def verify(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
     rows = placed.withColumn("_dim", F.size("embedding"))
     share = lambda visits, size: F.ceil(F.sum(F.when(F.col("visitor") == visits, 1).otherwise(0)) / F.lit(size)).cast("int")
     counts = checkpoint(rows.groupBy(*key).agg(share(False, block).alias("_blocks"), share(True, 4 * block).alias("_chunks")).filter("_blocks > 0"))
-    dealt = rows.join(counts, key).withColumn("_mine", F.pmod(F.xxhash64("vec_id"), F.when(F.col("visitor"), F.col("_chunks")).otherwise(F.col("_blocks"))).cast("int"))
+    dealt = rows.join(counts, key).withColumn("_mine", F.pmod(F.xxhash64("vec_id", "h"), F.when(F.col("visitor"), F.col("_chunks")).otherwise(F.col("_blocks"))).cast("int"))
     each = lambda n, x: f"if({n} > 0, transform(sequence(0, {n} - 1), o -> {x}), cast(array() as array<struct<p: int, q: int, c: int>>))"
     of_member = f"concat({each('_blocks', 'struct(least(_mine, o) as p, greatest(_mine, o) as q, -1 as c)')}, {each('_chunks', 'struct(_mine as p, -1 as q, o as c)')})"
     of_visitor = each("_blocks", "struct(o as p, -1 as q, _mine as c)")
     dealt = dealt.withColumn("_to", F.explode(F.expr(f"if(visitor, {of_visitor}, {of_member})")))
-    dealt = dealt.select(*key, "_to.p", "_to.q", "_to.c", "_mine", "vec_id", "weight", "visitor", "embedding")
+    dealt = dealt.select(*key, "_to.p", "_to.q", "_to.c", "_mine", "vec_id", "h", "weight", "visitor", "embedding")
 
     def run(table):
         import pyarrow as pa
 
-        ids, weight, visitor, mine = (table.column(c).to_numpy() for c in ("vec_id", "weight", "visitor", "_mine"))
+        ids, own, weight, visitor, mine = (table.column(c).to_numpy() for c in ("vec_id", "h", "weight", "visitor", "_mine"))
         p, q, c = (table.column(x)[0].as_py() for x in ("p", "q", "c"))
         x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
         norm = np.linalg.norm(x, axis=1)
         left = np.flatnonzero(~visitor & (mine == p) if c < 0 else ~visitor)
         right = np.flatnonzero(mine == q if c < 0 else visitor)
         link = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= threshold
-        link &= ids[left][:, None] != ids[right][None, :]
+        link &= left[:, None] != right[None, :]
         some, other = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
         link, left, right = link[np.ix_(some, other)], left[some], right[other]
         top, top_other, far = ids[left].copy(), ids[right].copy(), np.iinfo(np.int64).max
@@ -197,39 +202,41 @@ def verify(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
             if (low == top).all() and (low_other == top_other).all():
                 break
             top, top_other = low, low_other
-        out = [(ids[left], link @ weight[right], top)]
+        out = [(ids[left], own[left], link @ weight[right], top)]
         if c >= 0 or p != q:  # else both sides are the same rows
-            out.append((ids[right], weight[left] @ link, top_other))
+            out.append((ids[right], own[right], weight[left] @ link, top_other))
         cat = lambda k: pa.array(np.concatenate([o[k] for o in out]), pa.int64())
-        return pa.table({"vec_id": cat(0), "n": cat(1), "root": cat(2)})
+        return pa.table({"vec_id": cat(0), "h": cat(1), "n": cat(2), "root": cat(3)})
 
-    return dealt.groupBy(*key, "p", "q", "c").applyInArrow(run, "vec_id bigint, n bigint, root bigint")
+    return dealt.groupBy(*key, "p", "q", "c").applyInArrow(run, "vec_id bigint, h bigint, n bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, vector: str = "embedding", label: str = "label", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     with scratch(vectors.sparkSession) as keep:
         have = _classes(vectors, vector, label)
-        sizes = have.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+        key = ["label", "h1", "h2"]
+        sizes = have.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
         classes = checkpoint(sizes.filter("weight > 1"))
-        light = have.select("vec_id", "label", "h1", "h2")
-        copies = checkpoint(light.join(classes, ["label", "h1", "h2"]).select("vec_id", "rep", "weight", "label", "h1", "h2"))
-        firsts = copies.filter("vec_id = rep").select("vec_id", "label", "h1", "h2", "weight")
-        others = copies.filter("vec_id <> rep").select("vec_id", "label", "h1", "h2")
-        reps = have.join(others, ["vec_id", "label", "h1", "h2"], "left_anti").join(firsts, ["vec_id", "label", "h1", "h2"], "left")
-        reps = checkpoint(reps.select("vec_id", "label", "embedding", F.coalesce("weight", F.lit(1)).alias("weight")))
-        n = reps.count()
-        k = int(min(CENTROIDS, max(2, np.ceil(np.sqrt(n / 4096)))))
-        share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n))))
-        books = Codebooks([np.array(r[0], np.float32) for r in reps.filter(share).select("embedding").collect()], k)
+        copies = checkpoint(have.select("vec_id", "h", *key).join(classes, key).select("vec_id", "rep", "weight", "h", *key))
+        firsts = copies.filter("vec_id = rep").select("vec_id", *key, "weight")
+        others = copies.filter("vec_id <> rep").select("vec_id", *key)
+        reps = have.join(others, ["vec_id", *key], "left_anti").join(firsts, ["vec_id", *key], "left")
+        reps = checkpoint(reps.select("vec_id", "h", "label", "embedding", F.coalesce("weight", F.lit(1)).alias("weight")))
+        n, most = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        k = int(max(2, np.ceil(np.sqrt(most / CELL))))
+        share = F.pmod(F.xxhash64("vec_id", "h"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n))))
+        fitted = reps.filter(share).select("embedding").toArrow().column(0)  # about SAMPLE rows, as packed floats
+        books = Codebooks([v.values.to_numpy() for v in fitted], k)
         found = checkpoint(verify(checkpoint(place(reps, books, threshold)), threshold, block))
-        linked = keep(checkpoint(found.groupBy("vec_id").agg(F.sum("n").alias("_n"))))
+        linked = checkpoint(found.groupBy("vec_id", "h").agg(F.sum("n").alias("n")))
         edges = found.filter("root <> vec_id").select(F.col("root").alias("a"), F.col("vec_id").alias("b"))
         edges = edges.unionByName(copies.filter("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
         component = keep(connected_components(edges)).withColumnRenamed("node", "vec_id")
-        # A copy has its class's links and, beside them, the rest of the class.
-        own = copies.join(linked.withColumnRenamed("vec_id", "rep"), "rep", "left").select("vec_id", (F.coalesce("_n", F.lit(0)) + F.col("weight") - 1).alias("_copy"))
-        own = keep(checkpoint(own.groupBy("vec_id").agg(F.max("_copy").alias("_copy"))))
-    out = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(linked, "vec_id", "left").join(own, "vec_id", "left").join(component, "vec_id", "left")
+        # A copy has its class's links and, beside them, the rest of the class; an id adds up its values.
+        shared = copies.filter("vec_id <> rep").join(linked.withColumnRenamed("vec_id", "rep"), ["rep", "h"]).select("vec_id", "n")
+        parts = linked.select("vec_id", "n").unionByName(shared).unionByName(copies.select("vec_id", (F.col("weight") - 1).alias("n")))
+        links = keep(checkpoint(parts.groupBy("vec_id").agg(F.sum("n").alias("_n"))))
+    out = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(links, "vec_id", "left").join(component, "vec_id", "left")
     cid = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("_copy", "_n", F.lit(0)).cast("bigint").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))

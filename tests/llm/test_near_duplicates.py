@@ -188,6 +188,29 @@ def test_vectors(spark, block):
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in nulls] == [(None, 0, None, True)] * 2
 
 
+def test_vectors_ids_with_several_values(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(12, 8))
+    v[6:] = v[:6] + rng.normal(size=(6, 8)) * 0.02
+    fixed = [(1, v[0]), (7, v[0]), (7, v[1]), (9, v[7])]
+    rows = [(i, [float(y) for y in np.float32(x)], 1) for i, x in fixed + [(int(rng.integers(10, 30)), v[rng.integers(0, 12)]) for _ in range(60)]]
+    distinct = [(i, list(x), label) for i, x, label in sorted({(i, tuple(x), label) for i, x, label in rows})]
+    for data in (rows[:4], rows):
+        want_rows = [r for r in distinct if r in data]
+        n, u = defaultdict(int), Sets(i for i, *_ in want_rows)
+        for x, (i, a, _) in enumerate(want_rows):
+            for j, b, _ in want_rows[:x]:
+                a_, b_ = np.array(a), np.array(b)
+                if a_ @ b_ / (np.linalg.norm(a_) * np.linalg.norm(b_)) >= 0.98:
+                    n[i] += 1
+                    n[j] += 1
+                    u.join(i, j)
+        d = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int").repartition(3)
+        got = {(r.vec_id, r.n_links, r.component_id) for r in multiindex.near_duplicates(d, threshold=0.98, block=8).collect()}
+        assert got == {(i, n[i], u.top(i)) for i, *_ in want_rows}
+    assert n[7] >= 2
+
+
 def test_cells_hold_every_partner():
     """The traversal's recall against brute force: no partner lies in a cell that isn't visited."""
     rng = np.random.default_rng(4)
