@@ -1,6 +1,7 @@
 """License scan with DataFrame functions only: known phrases, and an exact set-similarity join with templates.
 
-Every line of a text is a block, every template a set of words. A block matches a template when it
+The blocks of a text are its lines and, for what line ends cross, all windows of as many consecutive
+words as a template has. A template is a set of words. A block matches a template when it
 holds at least ``threshold`` of the template's distinct words. Candidates come from the prefix
 filter: order the templates' words by how many documents hold them, rarest first; a block that holds
 ``need = ceil(threshold * size)`` of ``size`` words must hold one of the first ``size - need + 1``.
@@ -8,9 +9,8 @@ A block with fewer than ``need`` distinct words is out by length; a block whose
 at place ``p`` can hold ``size - p`` words at most, which the positional filter compares with
 ``need``. Only what is left is intersected in full, so the result is exact.
 
-A template that line ends cross is no block of ``matches``. ``passages`` holds it: every window of as
-many consecutive words of the whole text as the template has, under the same threshold and prefix
-filter. ``labels`` and ``score`` go by lines, as the SQL of the query says; ``all_labels`` by both.
+The templates are a table, carried as one array that every row meets: one expression over it, however
+many there are. ``matches`` are the lines over the threshold, ``passages`` the windows.
 
 Defined results: a null text is empty; ids and repeated rows are scanned row by row; an empty table
 gives an empty result and every word the count 0.
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Templates = tuple[tuple[str, str], ...]
 #: Phrases and their labels.
 PHRASES: tuple[tuple[str, str], ...] = (
     ("under the mit license", "mit"),
@@ -28,7 +29,7 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("cc by nc", "cc-by-nc"),
 )
 #: Opening statements of public licenses and notices, with the labels they give.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+TEMPLATES: Templates = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
@@ -57,22 +58,32 @@ def _lowered(docs: DataFrame, text: str) -> DataFrame:
     return d.withColumn("_words", F.expr(f"array_remove(split(_low, '{_SPLIT}'), '')"))
 
 
-def word_frequencies(docs: DataFrame, *, text: str = "text") -> dict[str, int]:
+def word_frequencies(docs: DataFrame, *, text: str = "text", templates: Templates = TEMPLATES) -> dict[str, int]:
     """In how many documents each word of the templates stands: counted over all documents, at most one row a template word."""
-    vocabulary = sorted({w for t, _ in TEMPLATES for w in t.split()})
+    vocabulary = sorted({w for t, _ in templates for w in t.split()})
     d = _lowered(docs.select(F.col(text).alias("_text")), "_text")
     found = d.select(F.explode(F.expr(f"array_intersect(_words, {_array(vocabulary)})")).alias("word")).groupBy("word").count().collect()
     return {w: 0 for w in vocabulary} | {r[0]: r[1] for r in found}
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, frequencies: dict[str, int] | None = None) -> DataFrame:
-    """``keep``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``matches``, ``passages`` and ``all_labels``.
+def template_table(templates: Templates, frequencies: dict[str, int], threshold: float) -> str:
+    """The templates as an array of structs: label, words (rarest first), need, prefix, n (words with repeats)."""
+    rows = []
+    for t, label in templates:
+        words = sorted(set(t.split()), key=lambda w: (frequencies.get(w, 0), w))
+        need = -int(-(threshold * len(words)) // 1)
+        rows.append(f"struct({_quoted(label)} as label, {_array(words)} as words, {need} as need, {_array(words[: len(words) - need + 1])} as prefix, {len(t.split())} as n)")
+    return "array(" + ", ".join(rows) + ")"
+
 
-    ``matches``: (label, line, overlap, size) for every block and template over the threshold.
+def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, frequencies: dict[str, int] | None = None, templates: Templates = TEMPLATES) -> DataFrame:
+    """``keep``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``, ``matches`` and ``passages``.
+
+    ``matches``: (label, line, overlap, size) for every line and template over the threshold.
     ``passages``: (label, word, overlap, size) for every window and template over it, whatever lines the window crosses.
     A projection: no row leaves its partition.
     """
-    freq = frequencies if frequencies is not None else word_frequencies(docs, text=text)
+    freq = frequencies if frequencies is not None else word_frequencies(docs, text=text, templates=templates)
     d = _lowered(docs.select(*[F.col(k) for k in keep], F.col(text).alias("_text")), "_text")
     # Each word between two spaces of its own: phrases then never share a space and a split finds every place.
     d = d.withColumn("_n", F.expr("cast(size(_words) as bigint)")).withColumn("_line", F.expr("if(_n = 0, '', concat(' ', array_join(_words, '  '), ' '))"))
@@ -86,34 +97,24 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     d = d.withColumn("last_word", F.expr("greatest(" + ", ".join(f"_n - {n} - " + spaces(f"element_at({c}, -1)") for c, n in parts) + ")"))
     base = ", ".join(f"if({c} is null, null, '{label}')" for (c, _), (_, label) in zip(parts, PHRASES, strict=True))
     d = d.withColumn("_base", F.expr(f"array_sort(array_distinct(array_compact(array({base}))))"))
-    # The join with the templates.
-    order = lambda words: sorted(set(words), key=lambda w: (freq.get(w, 0), w))
-    sets = []
-    for t, label in TEMPLATES:
-        words = order(t.split())
-        need = -int(-(threshold * len(words)) // 1)
-        sets.append((label, words, need, words[: len(words) - need + 1], len(t.split())))
-    prefixes = sorted({w for *_, p, _ in sets for w in p})
-    d = d.withColumn("_blocks", F.expr(f"if(arrays_overlap(_words, {_array(prefixes)}), filter(transform(split(_low, '\\n'), (l, i) -> struct(i as line, array_distinct(array_remove(split(l, '{_SPLIT}'), '')) as words)), b -> arrays_overlap(b.words, {_array(prefixes)})), cast(array() as array<struct<line: int, words: array<string>>>))"))
-    found = []
-    for label, words, need, prefix, _ in sets:
-        # Place of the first prefix word that the block holds; need of the words from there on must be left.
-        place = f"array_position({_array(words)}, array_intersect({_array(prefix)}, b.words)[0])"
-        overlap = f"size(array_intersect(b.words, {_array(words)}))"
-        kept = f"filter(_blocks, b -> size(b.words) >= {need} and arrays_overlap(b.words, {_array(prefix)}) and {len(words)} - {place} + 1 >= {need} and {overlap} >= {need})"
-        found.append(f"transform({kept}, b -> struct('{label}' as label, b.line as line, {overlap} as overlap, {len(words)} as size))")
-    d = d.withColumn("matches", F.expr("if(size(_blocks) = 0, cast(array() as array<struct<label: string, line: int, overlap: int, size: int>>), concat(" + ", ".join(found) + "))"))
-    d = d.withColumn("_labels", F.expr("if(spark_partition_id() >= 0, array_sort(array_distinct(concat(_base, transform(matches, m -> m.label)))), null)"))  # so that no filter moves below the scan
-    # The same for windows of words. A text without need of a template's words has no window; any other is looked at around its prefix words.
-    d = d.withColumn("_present", F.expr(f"array_intersect({_array(sorted({w for _, words, *_ in sets for w in words}))}, _words)"))
-    windows = []
-    for label, words, need, prefix, n in sets:
-        at = f"filter(transform(_words, (w, i) -> if(array_contains({_array(prefix)}, w), i, -1)), i -> i >= 0)"
-        starts = f"array_distinct(flatten(transform({at}, i -> sequence(greatest(i - {n - 1}, 0), i))))"
-        overlap = f"size(array_intersect(slice(_words, i + 1, {n}), {_array(words)}))"
-        over = f"filter(transform({starts}, i -> struct('{label}' as label, i as word, {overlap} as overlap, {len(words)} as size)), m -> m.overlap >= {need})"
-        windows.append(f"if(size(array_intersect(_present, {_array(words)})) >= {need}, {over}, cast(array() as array<struct<label: string, word: int, overlap: int, size: int>>))")
-    d = d.withColumn("passages", F.expr("concat(" + ", ".join(windows) + ")"))
+    # The join with the templates: those of which the whole text holds enough words, then block by block.
+    prefixes = sorted({w for t, _ in templates for w in t.split()})
+    d = d.withColumn("_templates", F.expr(f"if(arrays_overlap(_words, {_array(prefixes)}), filter({template_table(templates, freq, threshold)}, t -> arrays_overlap(_words, t.prefix) and size(array_intersect(t.words, _words)) >= t.need), null)"))
+    some = "_templates is not null and size(_templates) > 0"
+    d = d.withColumn("_blocks", F.expr(f"if({some}, transform(split(_low, '\\n'), (l, i) -> struct(i as line, array_distinct(array_remove(split(l, '{_SPLIT}'), '')) as words)), null)"))
+    # By length; by the place of the first prefix word that the block holds, from which on need words must be left; in full.
+    left = "size(t.words) - array_position(t.words, array_intersect(t.prefix, b.words)[0]) + 1 >= t.need"
+    fits = f"size(b.words) >= t.need and arrays_overlap(b.words, t.prefix) and {left} and size(array_intersect(b.words, t.words)) >= t.need"
+    of = "t.label as label, {} as {}, {} as overlap, size(t.words) as size"
+    lines = f"transform(filter(_blocks, b -> {fits}), b -> struct({of.format('b.line', 'line', 'size(array_intersect(b.words, t.words))')}))"
+    # A window holds a prefix word, so it starts at most n - 1 words before one.
+    starts = "array_distinct(flatten(transform(filter(transform(_words, (w, i) -> if(array_contains(t.prefix, w), i, -1)), i -> i >= 0), i -> sequence(greatest(i - t.n + 1, 0), i))))"
+    windows = f"filter(transform({starts}, i -> struct({of.format('i', 'word', 'size(array_intersect(slice(_words, i + 1, t.n), t.words))')})), m -> m.overlap >= t.need)"
+    for name, each, at in (("matches", lines, "line"), ("passages", windows, "word")):
+        d = d.withColumn(name, F.expr(f"if({some}, flatten(transform(_templates, t -> {each})), cast(array() as array<struct<label: string, {at}: int, overlap: int, size: int>>))"))
+    found = "concat(transform(matches, m -> m.label), transform(passages, m -> m.label))"
+    d = d.withColumn("_labels", F.expr(f"if(spark_partition_id() >= 0, array_sort(array_distinct(concat(_base, {found}))), null)"))  # so that no filter moves below the scan
+    shares = "concat(transform(matches, m -> cast(m.overlap as double) / m.size), transform(passages, m -> cast(m.overlap as double) / m.size))"
     return d.select(
         *keep,
         F.col("_n").alias("n_words"),
@@ -122,8 +123,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         "last_word",
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join("_labels", ",").alias("labels"),
-        F.expr("if(n_base > 0, 1D, coalesce(array_max(transform(matches, m -> cast(m.overlap as double) / m.size)), 0D))").alias("score"),
+        F.expr(f"if(n_base > 0, 1D, coalesce(array_max({shares}), 0D))").alias("score"),
         "matches",
         "passages",
-        F.expr("array_join(array_sort(array_union(_labels, transform(passages, m -> m.label))), ',')").alias("all_labels"),
     )

@@ -91,7 +91,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches", "passages", "all_labels")
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches", "passages")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,17 +140,19 @@ def _license_sql() -> str:
     cut = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = lambda t: "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
     phrases = ", ".join(f"({words(p)}, '{label}')" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"({words(' '.join(dict.fromkeys(t.split())))}, '{label}')" for t, label in licenses.TEMPLATES)
+    templates = ", ".join(f"({words(' '.join(dict.fromkeys(t.split())))}, '{label}', {len(t.split())})" for t, label in licenses.TEMPLATES)
     return rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{cut}'), lambda x: x <> '') AS ws FROM d),
 p(pw, label) AS (VALUES {phrases}),
-tp(tw, label) AS (VALUES {templates}),
+tp(tw, label, n) AS (VALUES {templates}),
 f AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, pw, label, unnest(range(1, len(ws) - len(pw) + 2)) AS i FROM w, p) WHERE ws[i : i + len(pw) - 1] = pw),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS bl FROM f GROUP BY doc_id),
 l AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(unnest(string_split(t, chr(10))), '{cut}'), lambda x: x <> '')) AS lw FROM d),
 m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw) AS share FROM l, tp WHERE len(list_intersect(lw, tw)) >= ceil({licenses.THRESHOLD} * len(tw))),
-s AS (SELECT doc_id, list(DISTINCT label) AS ml, max(share) AS share FROM m GROUP BY doc_id)
+t AS (SELECT doc_id, label, tw, ws[i : i + n - 1] AS part FROM (SELECT doc_id, ws, tw, label, n, unnest(range(1, len(ws) + 1)) AS i FROM w, tp WHERE len(list_intersect(tw, ws)) >= ceil({licenses.THRESHOLD} * len(tw)))),
+o AS (SELECT doc_id, label, len(list_intersect(tw, part)) / len(tw) AS share FROM t WHERE len(list_intersect(tw, part)) >= ceil({licenses.THRESHOLD} * len(tw))),
+s AS (SELECT doc_id, list(DISTINCT label) AS ml, max(share) AS share FROM (SELECT * FROM m UNION ALL SELECT * FROM o) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
        CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ','), '') AS labels,

@@ -83,6 +83,7 @@ def plain_scan(t):
             words = set(tpl.split())
             if len(have & words) >= licenses.THRESHOLD * len(words) - 1e-9:
                 labels.add(label)
+    labels |= {m[0] for m in plain_passages(t)}
     at = [i for i, _ in places]
     return len(v), len(at), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted(labels))
 
@@ -127,11 +128,19 @@ def test_license_passages_cross_lines(spark):
     texts = [*WRAPPED.values(), "\n".join(WRAPPED.values()), "all\nrights\n\nreserved", "all of the\nrights are reserved", WRAPPED["mit"].replace("\n", "\nbut nothing of the kind is meant here\n"), *TEXTS]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in licenses.scan(d).collect()}
-    assert [rows[i].all_labels for i in range(6)] == ["mit", "gpl", "bsd", "bsd,gpl,mit", "all-rights-reserved", ""]
+    assert [rows[i].labels for i in range(6)] == ["mit", "gpl", "bsd", "bsd,gpl,mit", "all-rights-reserved", ""]
     for i, t in enumerate(texts):
         found = sorted(tuple(m) for m in rows[i].passages)
         assert found == plain_passages(t)
-        assert set(rows[i].all_labels.split(",")) - {""} == set(rows[i].labels.split(",")) - {""} | {m[0] for m in found}
+        assert {m[0] for m in found} <= set(rows[i].labels.split(","))
+        assert rows[i].score == (1.0 if rows[i].n_base else max([m[2] / m[3] for m in [*rows[i].matches, *rows[i].passages]], default=0.0))
+
+
+def test_license_templates_are_a_table(spark):
+    own = tuple((f"grant number {k} holds for word{k} and word{k + 1}", f"own-{k}") for k in range(60))
+    d = spark.createDataFrame([(k, f"x grant number {k}\nholds for word{k} and word{k + 1} y") for k in range(60)] + [(99, "nothing here")], "doc_id bigint, text string")
+    out = licenses.scan(d, templates=own)
+    assert {r.doc_id: r.labels for r in out.collect()} == {k: f"own-{k}" for k in range(60)} | {99: ""}
 
 
 def test_language_id(spark):
