@@ -24,8 +24,9 @@ from .shared import checkpoint
 from .tokenizing import encoder
 
 CAPACITY = 4096
-#: Shares that the pieces of one length are dealt to before they are numbered, so that no length meets in one task.
+#: Shares that the pieces of one length are dealt to, at least, before they are numbered, and pieces a share: no length meets in one task.
 SHARES = 256
+SHARE_PIECES = 1 << 20
 #: Rows of a batch that are in Python at a time.
 SLICE = 1024
 
@@ -130,14 +131,16 @@ def tokenize_pieces(docs: DataFrame, file: str, *, text: str = "text", end_id: i
 def assign_sequences(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with doc_id, piece and length."""
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES)).cast("int"))
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    shares = max(SHARES, -(-max(histogram.values(), default=0) // SHARE_PIECES))
+    own = [c for c in pieces.columns if c != "ids"]  # rows without an id differ by what they hold
+    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64(*own), F.lit(shares)).cast("int"))
     counts = dealt.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # at most SHARES rows a length
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    starts = counts.select("length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # at most a row for each share of a length
     rows = plan_packing(histogram, capacity)
     plan = spark.createDataFrame(rows, "length int, _from bigint, _to bigint, _seq bigint, _each bigint, _off bigint")
-    order = Window.partitionBy("length", "_share").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "_share").orderBy(*own)
     ranked = dealt.withColumn("_k", F.row_number().over(order).cast("bigint") - 1).join(starts, ["length", "_share"]).withColumn("_rank", F.col("_k") + F.col("_first"))
     # The plan's size is bounded by the capacity alone.
     placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(plan["length"])
