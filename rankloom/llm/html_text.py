@@ -14,7 +14,8 @@ decoded as HTML5 says. Outside of article and main, lists, tables, divs and sect
 hold over 90 % are menus. Nothing else is dropped and no text is cut.
 
 Defined results: a null or empty page has the empty text; pages without a body element are read as if
-they had one; repeated rows are read one by one; extra columns are not read.
+they had one; elements nested deeper than ``DEPTH`` stand beside each other, so time is linear in the
+page; a quote that is never closed is a letter of its attribute; repeated rows are read one by one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -56,20 +57,32 @@ NAMES = frozenset(
 TEASERS = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies teaser".split())
 KEEP_INSIDE = frozenset(("article", "main"))
 _OWN = ("role", "hidden", "aria-hidden", "class", "id")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
+#: Attributes as HTML5 reads them: a quote opens a value only after an equals sign, and only if it is closed; elsewhere it is a letter.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*+" + _VALUE + r"?|[^>=]++)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(" + _VALUE + "))?")
 _TELLS = re.compile("class|id|role|hidden", re.I)
+#: HTML has no self-closing elements but void ones; a slash at the end of these says nothing.
+_STAYS_OPEN = BLOCK | {"a", "b", "i", "span", "em", "strong"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup a".split())
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+#: Elements deeper than this stay empty and what follows stands beside them, as in browsers; it bounds every climb.
+DEPTH = 512
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named", "words")
+    __slots__ = ("tag", "parent", "kids", "depth", "inside", "best", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum", "named", "words")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.drop = tag, parent, [], False
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in KEEP_INSIDE)  # an article or main
+        self.best = self  # the densest node of the subtree
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.named = ""  # dropped by a class or id only: "part" of the page's frame, or "teaser"
@@ -79,9 +92,7 @@ class Node:
 def _dropped(tag: str, attributes: str, node: Node) -> bool:
     if tag in DROP:
         return True
-    inside, up = False, node.parent
-    while up is not None and not inside:
-        inside, up = up.tag in KEEP_INSIDE, up.parent
+    inside = node.inside
     if tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "main") or not _TELLS.search(attributes):
@@ -168,15 +179,13 @@ def parse(page: str) -> Node:
         node.drop = _dropped(tag, m[3], node)
         here.kids.append(node)
         if tag in RAW:
-            found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            found = _RAW_END[tag].search(page, at)
             inner = page[at : found.start()] if found else page[at:]
             if not node.drop:
                 node.kids.append(_html.unescape(inner))
             at = found.end() if found else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in VOID and node.depth < DEPTH and (not m[3].rstrip().endswith("/") or tag in _STAYS_OPEN):
             here = node
-        elif tag not in VOID and tag in BLOCK | {"a", "b", "i", "span", "em", "strong"}:
-            here = node  # HTML has no self-closing elements but void ones
     return body
 
 
@@ -193,7 +202,7 @@ def _walk(body: Node) -> list[Node]:
 
 
 def measure(body: Node) -> list[Node]:
-    """Fill in characters, tags, densities and density sums; the nodes, parents first."""
+    """Fill in characters, tags, densities, density sums and densest nodes; the nodes, parents first."""
     nodes = _walk(body)
     for node in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
@@ -211,6 +220,10 @@ def measure(body: Node) -> list[Node]:
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
         plain = node.chars - node.link_chars
         node.density = node.chars / max(1, node.tags) * (plain / node.chars if node.chars else 0.0)
+        node.best = node
+        for k in node.kids:  # of equals the first of the page
+            if not isinstance(k, str) and not k.drop and k.chars and (k.best.sum, k.best.density) > (node.best.sum, node.best.density):
+                node.best = k.best
     return nodes
 
 
@@ -328,58 +341,41 @@ def release(body: Node) -> None:
 def main_node(body: Node) -> Node | None:
     """The smallest subtree with all densest nodes over the path threshold; None where there is no text."""
     release(body)
-    nodes = [n for n in measure(body) if n.chars]
-    if not nodes:
+    measure(body)
+    if not body.chars:
         return None
-    best = max(nodes, key=lambda n: (n.sum, n.density))
+    best = body.best
     if best.sum == 0:
         return body
     threshold, up = best.density, best
     while up is not None:
         threshold = min(threshold, up.density) if up.tag != "html" else threshold
         up = up.parent
-    marks: list[Node] = []
-    todo = [body]
+    found, todo = best, [body]
     while todo:  # the densest node of a subtree, then of every subtree beside the way to it
         node = todo.pop()
-        mark = max((n for n in _walk(node) if n.chars), key=lambda n: (n.sum, n.density))
-        marks.append(mark)
-        up = mark
+        up = node.best
+        one, other = found, up
+        while one is not other:  # the smallest subtree with both
+            if one.depth >= other.depth:
+                one = one.parent
+            else:
+                other = other.parent
+        found = one
         while up is not node:
             way, up = up, up.parent
             todo += [k for k in up.kids if k is not way and isinstance(k, Node) and not k.drop and k.chars and k.density >= threshold and k.link_chars * 2 <= k.chars]
-
-    def path(n: Node | None) -> list[Node]:
-        out = []
-        while n is not None:
-            out.append(n)
-            n = n.parent
-        return out[::-1]
-
-    common = path(marks[0])
-    for m in marks[1:]:
-        p = path(m)
-        k = 0
-        while k < min(len(common), len(p)) and common[k] is p[k]:
-            k += 1
-        common = common[:k]
     # Up to the enclosing article or main, where there is one: its headings and short paragraphs belong to it.
-    found = common[-1]
-    for n in path(found)[::-1]:
-        if n.tag in KEEP_INSIDE:
-            return n
+    up = found
+    while up is not None:
+        if up.tag in KEEP_INSIDE:
+            return up
+        up = up.parent
     while found.tag not in BLOCK or found.tag in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "pre"):
         found = found.parent
     return found
 
 
-def _within(node: Node | None) -> bool:
-    """Whether a node is or lies in an article or main."""
-    while node is not None and node.tag not in KEEP_INSIDE:
-        node = node.parent
-    return node is not None
-
-
 def extract(page: str | None) -> str:
     """The main text: blocks in page order, joined by a line end."""
     if not page:
@@ -410,7 +406,7 @@ def extract(page: str | None) -> str:
             if block:
                 flush()
             continue
-        if node.tag in BLOCK and node is not top and node.link_chars * 10 > node.chars * 9 and node.tags > 1 and node.tag in ("ul", "ol", "div", "table", "section") and not _within(node):
+        if node.tag in BLOCK and node is not top and node.link_chars * 10 > node.chars * 9 and node.tags > 1 and node.tag in ("ul", "ol", "div", "table", "section") and not (node.inside or node.tag in KEEP_INSIDE):
             flush()  # a block of nothing but links is a menu, outside of an article
             continue
         if block:

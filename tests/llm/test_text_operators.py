@@ -1,6 +1,7 @@
 """Quality rules, license scan, language ID, HTML extraction."""
 
 import html
+import math
 import re
 from collections import Counter
 
@@ -162,6 +163,69 @@ def test_language_id(spark):
     assert (none.lang_pred, none.score) == ("und", 0.0)
 
 
+def plain_language(rows, texts):
+    """Counts of words and n-grams by language, then word-first backoff, from the definitions."""
+    langs = sorted({lang for _, lang in rows})
+    words = {lang: Counter(w for t, x in rows if x == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+    grams = lambda w, n: [w] if n == 0 else [(w if n == 1 else f" {w} ")[i : i + n] for i in range(len(w if n == 1 else f" {w} ") - n + 1)]
+    tables = {n: {lang: Counter() for lang in langs} for n in (0, 1, 2, 3, 4)}
+    for lang in langs:
+        for w, c in words[lang].items():
+            for n in tables:
+                for g in grams(w, n):
+                    tables[n][lang][g] += c
+    known = {n: set().union(*tables[n].values()) for n in tables}
+    total = {n: {lang: sum(tables[n][lang].values()) for lang in langs} for n in tables}
+
+    def score(g, n, lang):
+        return math.log((tables[n][lang][g] + langid.SMOOTH) / (total[n][lang] + langid.SMOOTH * len(known[n])))
+
+    out = []
+    for t in texts:
+        sums = dict.fromkeys(langs, 0.0)
+        found = re.findall(r"[^\W\d_]+", (t or "").lower())
+        for w in found:
+            for n in (0, 4, 3, 2, 1):
+                have = [g for g in grams(w, n) if g in known[n]]
+                if have:
+                    for lang in langs:
+                        sums[lang] += sum(score(g, n, lang) for g in have) / len(have)
+                    break
+        best = min(langs, key=lambda x: (-sums[x], x))
+        out.append((best, 1 / sum(math.exp(min(0.0, sums[x] - sums[best])) for x in langs)) if found else ("und", 0.0))
+    return out
+
+
+def test_language_id_equals_plain(spark):
+    import random
+
+    rng = random.Random(2)
+    letters = {"aa": "abcdeé ", "bb": "bcdefß ", "cc": "acegik "}
+    make = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(0, 60)))
+    rows = [(i, make(lang), lang) for i in range(120) for lang in [rng.choice(list(letters))]]
+    texts = [make(rng.choice(list(letters))) + rng.choice(["", " zzz", " QQ", " 12", "!"]) for _ in range(80)] + [None, "", "zzzz", "bcd", "ß"]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(d, sample=10**6)
+    learned = [(t, lang) for (i, t, lang), r in zip(rows, d.select(langid.held_out().alias("h")).collect(), strict=True) if not r.h]
+    got = langid.Predictor(model).predict(texts)
+    for (lang, p), (want, q) in zip(got, plain_language(learned, texts), strict=True):
+        assert p == pytest.approx(q, abs=1e-3)
+        assert lang == want or q < 0.51
+    tied = langid.Predictor(langid.Model(["b", "a"], [("a", "same", 3), ("b", "same", 3)])).predict(["same same", "new"])
+    assert [x for x, _ in tied] == ["a", "a"]  # ties go to the language that sorts first
+
+
+def test_language_id_on_held_out_documents(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(judged) > 200
+    assert sum(r.lang_pred == r.lang for r in judged) >= 0.97 * len(judged)
+
+
 T = "The quick brown fox jumps over the lazy dog and then some more words follow here. " * 3
 
 
@@ -207,6 +271,81 @@ def test_html_names_are_hints(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content no-sidebar">{}</div>', '<div class="page has-sticky-header">{}</div>', '<div id="page" class="nav-collapsed"><main>{}</main></div>', '<div class="share-price">{}</div>', "<div title=it's>{}</div>", '<div title="x>{}</div>', "<div a='b c>{}</div>", '<div data-x=a"b class=content>{}</div>', "<div title=>{}</div>", "<div =>{}</div>", '<div "class=ad">{}</div>'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "{}"])
+def test_html_wrappers_and_quotes(wrap, inner):
+    text = f"<h1>Head</h1><p>{T}</p><p>{T}</p>"
+    assert html_text.extract("<nav><a href=x>Menu</a></nav>" + wrap.replace("{}", inner.format(text)) + "<footer>Foot</footer>") == f"Head\n{T.strip()}\n{T.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</div>" * 100_000, "<div><b>" * 50_000 + "x", "<b></i>" * 50_000 + "x", "<p a=\"" * 30_000 + "x", "<ul><li>" * 40_000 + "x", "<a b=c" * 40_000])
+def test_html_time_is_linear(page):
+    import time
+
+    began = time.thread_time()
+    html_text.extract(page)
+    small = time.thread_time() - began
+    began = time.thread_time()
+    html_text.extract(page[: len(page) // 4])
+    assert small < 8 * (time.thread_time() - began) + 0.5
+    assert small < 8  # seconds, on a slow machine
+
+
+def plain_main(body):
+    """The method from its definitions alone: recursion, paths as lists, no shared figures."""
+    kids = lambda n: [k for k in n.kids if not isinstance(k, str) and not k.drop]
+    chars = lambda n: sum(len(re.sub(r"\s+", "", k)) for k in n.kids if isinstance(k, str)) + sum(map(chars, kids(n)))
+    tags = lambda n: sum(1 + tags(k) for k in kids(n))
+    linked = lambda n: chars(n) if n.tag == "a" else sum(map(linked, kids(n)))
+    density = lambda n: chars(n) / max(1, tags(n)) * ((chars(n) - linked(n)) / chars(n)) if chars(n) else 0.0
+    total = lambda n: sum(map(density, kids(n)))
+    subtree = lambda n: [n] + [x for k in kids(n) for x in subtree(k)]
+    path = lambda n: (path(n.parent) if n.parent else []) + [n]
+    top = lambda n: max((x for x in subtree(n) if chars(x)), key=lambda x: (total(x), density(x)))
+    if not chars(body):
+        return None
+    best = top(body)
+    if total(best) == 0:
+        return body
+    threshold = min(density(x) for x in path(best) if x.tag != "html")
+
+    def marks(n):
+        m = top(n)
+        way = path(m)[len(path(n)) - 1 :]
+        beside = [k for a, b in zip(way, way[1:]) for k in kids(a) if k is not b]
+        return [m] + [x for k in beside if chars(k) and density(k) >= threshold and 2 * linked(k) <= chars(k) for x in marks(k)]
+
+    ways = [path(m) for m in marks(body)]
+    found = [x for x in ways[0] if all(x in w for w in ways)][-1]
+    for x in path(found)[::-1]:
+        if x.tag in ("article", "main"):
+            return x
+    while found.tag not in html_text.BLOCK or found.tag in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "pre"):
+        found = found.parent
+    return found
+
+
+def test_html_density_equals_plain():
+    import random
+
+    rng = random.Random(12)
+
+    def make(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if depth == 0 or kind < 0.35:
+                out.append(" ".join(rng.choice(["word", "and", "longer", "x"]) for _ in range(rng.choice([0, 1, 3, 25]))))
+            else:
+                tag = rng.choice(["div", "div", "section", "p", "span", "a", "ul", "li", "b", "article", "main", "h2", "td"] if rng.random() < 0.3 else ["div", "section", "p", "span", "a", "b"])
+                out.append(f"<{tag}>{make(depth - 1)}</{tag}>")
+        return " ".join(out)
+
+    for _ in range(400):
+        body = html_text.parse(make(5))
+        assert html_text.main_node(body) is plain_main(body)
+
+
 def test_html_links_of_an_article_stay():
     sources = "<h2>Sources</h2><ul><li><a href=a>First</a></li><li><a href=b>Second</a></li></ul><div><p><a href=c>Third</a></p></div>"
     for tag in ("article", "main"):
