@@ -191,7 +191,7 @@ def file_replaced(spark, sf):
     path, gone = work_path(spark, "file"), work_path(spark, "gone")
     regions = ds.table(spark, sf, "region")
     sinks.save_single_tsv(regions, gone, "r_regionkey")
-    sinks.save_single_tsv(ds.table(spark, sf, "nation").limit(3), path)
+    sinks.save_single_tsv(ds.table(spark, sf, "nation"), path, "n_nationkey")
     sinks.save_single_tsv(regions, path, "r_regionkey")
     deleted = delete(spark, gone) and not delete(spark, gone)
     return _whole(spark, path).withColumn("deleted", F.lit(deleted))
