@@ -6,7 +6,7 @@ language is the sum over all its words; the prediction is the largest, its score
 that language under equal priors.
 
 The model is fitted on a bounded sample of the labelled rows: about ``SAMPLE`` documents for each
-language, chosen by a hash of the id, so that it takes as long for any input. That is its only bound:
+language, chosen by a hash of id and text (so an id that very many rows have isn't in as a whole), so that it takes as long for any input. That is its only bound:
 every language, every word of the sampled documents and every n-gram of those words is in its
 tables, whose size follows from the sample. Prediction reads whole texts only, never language, source
 or id.
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, text: str = "text", lang: str
     if not n:
         return Model([], [])
     share = docs.sparkSession.createDataFrame([(k, min(1.0, sample / c)) for k, c in n.items()], "_lang string, _share double")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    place = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), place.alias("_place")).join(F.broadcast(share), "_lang").filter("_place < _share")
     words = chosen.select("_lang", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("_word"))
     counts = words.groupBy("_lang", "_word").count().toArrow()  # as many rows as the sample has words
