@@ -36,7 +36,9 @@ THRESHOLD = 0.98
 #: Rows the codebooks are fitted on, at most about so many; rows a cell, on average; rows a block.
 SAMPLE = 16_384
 CELL = 4096
-BLOCK = 1024
+BLOCK = 4096
+#: Rows of a block that are multiplied at a time, which bounds what a task holds beside the block's vectors.
+TILE = 512
 #: Planes between centroids that a bound looks at: those of the nearest centroids.
 PLANES = 64
 ROUNDS = 10
@@ -165,16 +167,53 @@ def place(reps: DataFrame, books: Codebooks, threshold: float) -> DataFrame:
     return reps.select("vec_id", "h", "label", "embedding", "weight").mapInArrow(run, "vec_id bigint, h bigint, label string, embedding array<%s>, weight bigint, cell int, visitor boolean" % _kind(reps, "embedding"))
 
 
+def linked_rows(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tile: int = TILE) -> np.ndarray:
+    """Which rows ``left`` of x link with which rows ``right``, in double precision; no row links with itself."""
+    norm, facing = np.linalg.norm(x, axis=1), x[right].T
+    link = np.empty((len(left), len(right)), bool)
+    for at in range(0, len(left), tile):
+        own = left[at : at + tile]
+        cosine = x[own] @ facing
+        cosine /= norm[own][:, None] * norm[right][None, :]
+        link[at : at + tile] = (cosine >= threshold) & (own[:, None] != right[None, :])
+    return link
+
+
+def least_reached(link: np.ndarray, top: np.ndarray, other: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of the ids ``top`` (of rows) and ``other`` (of columns) that each row and column reaches by links."""
+    far = np.iinfo(np.int64).max
+    while link.size:
+        low, low_other = top.copy(), other.copy()
+        for at in range(0, len(top), tile):
+            part, own = link[at : at + tile], slice(at, at + tile)
+            low[own] = np.minimum(low[own], np.where(part, low_other[None, :], far).min(axis=1))
+            low_other = np.minimum(low_other, np.where(part, low[own][:, None], far).min(axis=0))
+        if (low == top).all() and (low_other == other).all():
+            break
+        top, other = low, low_other
+    return top, other
+
+
+def weights_linked(link: np.ndarray, rows: np.ndarray, columns: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the weights of the columns that it links with, and the other way round."""
+    of_rows, of_columns = np.zeros(len(rows), np.int64), np.zeros(len(columns), np.int64)
+    for at in range(0, len(rows), tile):
+        part = link[at : at + tile]
+        of_rows[at : at + tile] = part @ columns
+        of_columns += rows[at : at + tile] @ part
+    return of_rows, of_columns
+
+
 def verify(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """vec_id, h, n (weights of linked vectors in a block pair) and root (the smallest id it reaches there).
 
-    A cell's own rows are dealt in blocks, its visitors in chunks four times as large. Every pair of
+    A cell's own rows are dealt in blocks, its visitors in chunks twice as large. Every pair of
     blocks meets once, and every block meets every chunk; visitors don't meet each other.
     """
     key = ["label", "_dim", "cell"]
     rows = placed.withColumn("_dim", F.size("embedding"))
     share = lambda visits, size: F.ceil(F.sum(F.when(F.col("visitor") == visits, 1).otherwise(0)) / F.lit(size)).cast("int")
-    counts = checkpoint(rows.groupBy(*key).agg(share(False, block).alias("_blocks"), share(True, 4 * block).alias("_chunks")).filter("_blocks > 0"))
+    counts = checkpoint(rows.groupBy(*key).agg(share(False, block).alias("_blocks"), share(True, 2 * block).alias("_chunks")).filter("_blocks > 0"))
     dealt = rows.join(counts, key).withColumn("_mine", F.pmod(F.xxhash64("vec_id", "h"), F.when(F.col("visitor"), F.col("_chunks")).otherwise(F.col("_blocks"))).cast("int"))
     each = lambda n, x: f"if({n} > 0, transform(sequence(0, {n} - 1), o -> {x}), cast(array() as array<struct<p: int, q: int, c: int>>))"
     of_member = f"concat({each('_blocks', 'struct(least(_mine, o) as p, greatest(_mine, o) as q, -1 as c)')}, {each('_chunks', 'struct(_mine as p, -1 as q, o as c)')})"
@@ -188,23 +227,16 @@ def verify(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame
         ids, own, weight, visitor, mine = (table.column(c).to_numpy() for c in ("vec_id", "h", "weight", "visitor", "_mine"))
         p, q, c = (table.column(x)[0].as_py() for x in ("p", "q", "c"))
         x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-        norm = np.linalg.norm(x, axis=1)
         left = np.flatnonzero(~visitor & (mine == p) if c < 0 else ~visitor)
         right = np.flatnonzero(mine == q if c < 0 else visitor)
-        link = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= threshold
-        link &= left[:, None] != right[None, :]
+        link = linked_rows(x, left, right, threshold)
         some, other = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
         link, left, right = link[np.ix_(some, other)], left[some], right[other]
-        top, top_other, far = ids[left].copy(), ids[right].copy(), np.iinfo(np.int64).max
-        while len(left):
-            low = np.minimum(top, np.where(link, top_other[None, :], far).min(axis=1))
-            low_other = np.minimum(top_other, np.where(link, low[:, None], far).min(axis=0))
-            if (low == top).all() and (low_other == top_other).all():
-                break
-            top, top_other = low, low_other
-        out = [(ids[left], own[left], link @ weight[right], top)]
+        n, n_other = weights_linked(link, weight[left], weight[right])
+        top, top_other = least_reached(link, ids[left], ids[right])
+        out = [(ids[left], own[left], n, top)]
         if c >= 0 or p != q:  # else both sides are the same rows
-            out.append((ids[right], own[right], weight[left] @ link, top_other))
+            out.append((ids[right], own[right], n_other, top_other))
         cat = lambda k: pa.array(np.concatenate([o[k] for o in out]), pa.int64())
         return pa.table({"vec_id": cat(0), "h": cat(1), "n": cat(2), "root": cat(3)})
 

@@ -188,6 +188,27 @@ def test_vectors(spark, block):
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in nulls] == [(None, 0, None, True)] * 2
 
 
+@pytest.mark.parametrize("tile", [1, 7, 512])
+def test_tiles_of_a_block_equal_the_whole(tile):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    x[20:50] = x[rng.integers(0, 20, 30)] + rng.normal(size=(30, 6)) * 0.1
+    left, right = np.arange(0, 60, 2), np.arange(10, 60)
+    link = multiindex.linked_rows(x, left, right, 0.95, tile)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (link == ((unit[left] @ unit[right].T >= 0.95) & (left[:, None] != right[None, :]))).all() and link.sum() > 20
+    w = rng.integers(1, 9, 60)
+    n, n_other = multiindex.weights_linked(link, w[left], w[right], tile)
+    assert (n == (link * w[right]).sum(axis=1)).all() and (n_other == (link * w[left][:, None]).sum(axis=0)).all()
+    # Rows and columns are two nodes, even of one row of x.
+    u = Sets([*left.tolist(), *(1000 + right).tolist()])
+    for a, b in zip(*np.nonzero(link), strict=True):
+        u.join(int(left[a]), int(1000 + right[b]))
+    top, top_other = multiindex.least_reached(link, left, 1000 + right, tile)
+    assert top.tolist() == [u.top(a) for a in left.tolist()] and top_other.tolist() == [u.top(1000 + b) for b in right.tolist()]
+    assert [len(v) for v in multiindex.least_reached(link[:0], left[:0], right, tile)] == [0, 50]
+
+
 def test_vectors_ids_with_several_values(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(12, 8))
