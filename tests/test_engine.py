@@ -226,6 +226,20 @@ def test_sinks_and_command_line(spark, tmp_path, capsys):
     sinks.save_tsv(spark.createDataFrame([("a", None)], "x string, y string"), f"{out}/many")
 
 
+def test_a_file_longer_than_a_value_is_refused_at_once(spark, tmp_path):
+    from rankloom.plans import queries
+
+    for more in (0, 1):
+        path = tmp_path / f"file{more}"
+        with path.open("wb") as f:
+            f.truncate(queries.LARGEST_VALUE + more)  # sparse
+        if more:
+            with pytest.raises(ValueError, match=f"{queries.LARGEST_VALUE + more} bytes"):
+                queries._whole(spark, f"file://{path}")
+        else:
+            assert queries._whole(spark, f"file://{path}").columns == ["contents"]
+
+
 def test_without_llm(spark, tmp_path):
     """With the llm folders gone, the entry module still imports and has the engine's queries."""
     import os
