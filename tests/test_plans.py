@@ -37,3 +37,18 @@ def test_counts_are_partial_before_the_exchange(spark):
 
 def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull" in plan(spark, "links_valid")
+
+
+def test_the_row_of_a_whole_file_is_held_once(spark):
+    """It comes from an exchange, with nothing above that copies it and no projection below."""
+    top, below = plan(spark, "file_clean_pages").strip().splitlines()[-2:]
+    assert "Exchange SinglePartition" in top or "Exchange RoundRobinPartitioning(1)" in top
+    assert re.search(r"FileScan text \[contents#\d+\]", below)
+
+
+def test_a_whole_file_is_read_letter_by_letter(spark, tmp_path):
+    from rankloom.plans import queries
+
+    for text in ("x", "a\r\nb\rc\n\n", " \u20ac\t\U0001f600 no end of line", "\n"):
+        (tmp_path / "file").write_bytes(text.encode())
+        assert [tuple(r) for r in queries._whole(spark, f"file://{tmp_path}/file").collect()] == [(text,)]
